@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, mixing
+from tidewater.llm import langid, mixing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.query,
+        "op2_private_data": pii.query,
+        "op3_quality": quality.query,
         "op9_source_mixing": mixing.query,
     }
 
