@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, mixing, pii, quality
+from tidewater.llm import langid, mixing, neardup, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.query,
         "op2_private_data": pii.query,
         "op3_quality": quality.query,
+        "op4_near_duplicates": neardup.query,
         "op9_source_mixing": mixing.query,
     }
 
