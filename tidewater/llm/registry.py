@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, mixing, neardup, pii, quality
+from tidewater.llm import langid, mixing, neardup, pii, quality, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_private_data": pii.query,
         "op3_quality": quality.query,
         "op4_near_duplicates": neardup.query,
+        "op5_near_vectors": vectors.near_query,
         "op9_source_mixing": mixing.query,
+        "op10_neighbours": vectors.search_query,
     }
 
 
