@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import langid, mixing, neardup, pii, quality, vectors
+from tidewater.llm import katz, langid, mixing, neardup, pii, quality, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.query,
         "op4_near_duplicates": neardup.query,
         "op5_near_vectors": vectors.near_query,
+        "op6_katz_scores": katz.query,
         "op9_source_mixing": mixing.query,
         "op10_neighbours": vectors.search_query,
     }
