@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import katz, langid, mixing, neardup, pii, quality, vectors
+from tidewater.llm import katz, langid, mixing, neardup, pieces, pii, quality, secrets_scan, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_duplicates": neardup.query,
         "op5_near_vectors": vectors.near_query,
         "op6_katz_scores": katz.query,
+        "op7_piece_encoding": pieces.query,
+        "op8_secret_scan": secrets_scan.query,
         "op9_source_mixing": mixing.query,
         "op10_neighbours": vectors.search_query,
     }
