@@ -7,14 +7,22 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that a Python worker gets at once. Texts are long, so the session's default of 10,000 is lowered; any other value stays.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +39,8 @@ def ready(df: DataFrame) -> DataFrame:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if df.sparkSession.conf.get(BATCH_ROWS) == "10000":
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
     return df
 
 
@@ -44,6 +54,29 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     return ready(df).mapInPandas(run, schema)
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], run: Callable) -> Iterator[pd.DataFrame]:
+    """Call ``run`` with all rows of each key, of batches that are sorted by key. Only the last key's rows are held over."""
+    rest = None
+    for pdf in chain(batches, [None]):
+        if pdf is None:
+            whole, rest = rest, None
+        else:
+            rest = pdf if rest is None or not len(rest) else pd.concat([rest, pdf], ignore_index=True)
+            if not len(rest):
+                continue
+            values = rest[keys].to_numpy()
+            open_ = (values == values[-1]).all(axis=1)
+            whole, rest = rest[~open_], rest[open_]
+        if whole is None or not len(whole):
+            continue
+        values = whole[keys].to_numpy()
+        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(whole)]):
+            out = run(whole.iloc[a:b])
+            if out is not None and len(out):
+                yield out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees. Only where the session names none (tests), a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -4,7 +4,6 @@ A text is a sequence of five-word shingles, the n-th occurrence of a shingle lab
 ``PICKED`` labelled shingles with the smallest hashes and hashes them in text order, so texts share it if they have the
 same shingles in the same order. Texts with an equal value in one of ``TABLES`` tables are candidates. Two texts are linked if
 the longest common subsequence of their distinct shingles, as a share of all distinct shingles of both, is 0.8 or more.
-One minus that share is a metric, so distances to a pivot rule out most pairs of a large bucket exactly.
 """
 
 from __future__ import annotations
@@ -14,10 +13,10 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import components, discard, map_batches, materialise, table
+from tidewater.llm.common import components, discard, map_batches, materialise, table, whole_groups
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -25,9 +24,10 @@ TABLES = 20
 PICKED = 4
 #: Tables of the first round, which contracts the large groups.
 FIRST_TABLES = 3
-#: Pairs left between different groups are compared outright once there are so few for each text; before, pivots split the buckets.
-PAIRS_EACH, PAIRS_LEAST = 4, 50_000
-MAX_PIVOTS = 8
+#: Members of a bucket in one block of work.
+BLOCK = 512
+#: How often texts without a possible partner are peeled off after each round; each time others lose shared shingles.
+PEELS = 2
 _SEEDS = np.random.default_rng(41).integers(1, 2**63, size=(TABLES, 2), dtype=np.uint64) | np.uint64(1)
 _STEP = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, WORDS + 1)], dtype=np.uint64)
 
@@ -93,25 +93,20 @@ def increasing(where: list[int]) -> int:
     return len(tails)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, exact: bool = False) -> float:
-    """Share of aligned shingles. Where the result reaches the threshold no aligned pair can lie outside the band, so the
-    banded alignment is exact there; below it, ``exact`` asks for the alignment without a band."""
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Share of aligned shingles, or less where it is under the threshold: an alignment that reaches the threshold leaves no room
+    outside the band, so that the banded one is exact there."""
     _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order]
     both = len(a) + len(b)
 
-    def aligned(at: np.ndarray) -> float:
-        n = len(at) if len(at) < 2 or (at[1:] > at[:-1]).all() else increasing(at.tolist())
-        return n / (both - n) if both > n else 0.0
-
-    if len(ib) / max(1, both - len(ib)) >= threshold:
-        band = max(len(a), len(b)) - threshold / (1 + threshold) * both
-        inside = np.abs(ia - ib) <= band + 1
-        s = aligned(ib[inside])
-        if s >= threshold or not exact:
-            return s
-    return aligned(ib) if exact else 0.0
+    if len(ib) < threshold * max(1, both - len(ib)):
+        return 0.0
+    band = max(len(a), len(b)) - threshold / (1 + threshold) * both
+    at = ib[np.abs(ia - ib) <= band + 1]
+    n = len(at) if len(at) < 2 or (at[1:] > at[:-1]).all() else increasing(at.tolist())
+    return n / (both - n) if both > n else 0.0
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,23 +125,119 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_batches(src, run, "id long, sha string, keys array<long>")
 
 
-def verified(pairs: DataFrame, seqs: DataFrame, threshold: float, exact: bool) -> DataFrame:
-    """(a, b, distance) of each pair."""
+def accepted(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that banded alignment confirms."""
 
     def run(batches):
         for pdf in batches:
-            d = [
-                1 - similarity(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), threshold, exact)
+            linked = [
+                similarity(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), threshold) >= threshold
                 for x, y in zip(pdf["x"], pdf["y"])
             ]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "distance": d})
+            yield pdf.loc[linked, ["a", "b"]]
 
     both = (
-        pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("x")), "a")
+        materialise(pairs, "omh-pairs").join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("x")), "a")
         .join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
-    return map_batches(both, run, "a long, b long, distance double")
+    return materialise(map_batches(both, run, "a long, b long"), "omh-links")
+
+
+def possible(threshold: float, n: str, u: str, n2: str, u2: str) -> Column:
+    """Whether two texts can be linked: neither has its u unshared shingles in common with the other."""
+    most = F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2))
+    return most >= (threshold - 1e-9) * (F.col(n) + F.col(n2) - most)
+
+
+def alive(entries: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Entries, with the components that labels give, of the buckets that hold more than one component."""
+    if labels is not None:
+        entries = entries.join(labels, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("comp"), "n", "u")
+    entries = materialise(entries, "omh-entries")
+    keys = materialise(entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "omh-alive")
+    return materialise(entries.join(keys, "key").select("key", "t", "node", "comp", "n", "u"), "omh-entries")
+
+
+def peeled(entries: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Count u, the shingles of a text that no other text of these buckets has, and drop the texts that hence have no
+    partner: whoever links to a text of n shingles has ``threshold`` * n of them at least."""
+
+    def spread(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "h": [np.frombuffer(x, dtype=np.int32) for x in pdf["seq"]]})
+
+    nodes = materialise(entries.select("node").distinct(), "omh-nodes")
+    held = map_batches(seqs.join(nodes, "node", "left_semi").select("node", "seq"), spread, "node long, h array<int>")
+    alone = (
+        held.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"))
+        .where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    )
+    counted = entries.drop("u").join(materialise(alone, "omh-alone"), "node", "left").withColumn("u", F.coalesce("alone", F.lit(0)))
+    return alive(counted.where(F.col("u") <= (1 - threshold + 1e-9) * F.col("n")).select("key", "t", "node", "comp", "n", "u"))
+
+
+def compared(entries: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components of each bucket. Members are dealt to blocks of BLOCK and the blocks compared two by two, so that no
+    task holds a large bucket; a pair is a row only if it is a link that joins two components."""
+    sizes = materialise(
+        entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "omh-sizes"
+    )
+    work = (
+        entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "n", "u")
+        .join(seqs, "node")
+    )
+    parts = max(8, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    work = work.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return materialise(map_batches(work, lambda b: whole_groups(b, ["key", "lo", "hi"], lambda g: linked(g, threshold)), "a long, b long"), "omh-links")
+
+
+def linked(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
+    n, u, comp, node = (group[c].to_numpy() for c in ("n", "u", "comp", "node"))
+    left = np.flatnonzero(group["own"] == group["lo"].iloc[0])
+    right = np.flatnonzero(group["own"] == group["hi"].iloc[0])
+    i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+    most = np.minimum((n - u)[i], (n - u)[j])
+    open_ = (comp[i] != comp[j]) & (most >= (threshold - 1e-9) * (n[i] + n[j] - most))
+    if group["lo"].iloc[0] == group["hi"].iloc[0]:
+        open_ &= i < j
+    i, j = i[open_], j[open_]
+    if not len(i):
+        return None
+    seq = [np.frombuffer(x, dtype=np.uint32) for x in group["seq"]]
+    if len(i) > 64:
+        # shingles in common, counted for all pairs of the blocks at once
+        every, where = np.unique(np.concatenate(seq), return_inverse=True)
+        doc = np.repeat(np.arange(len(seq)), [len(x) for x in seq])
+        shared = np.flatnonzero(np.bincount(where, minlength=len(every)) > 1)
+        number = np.full(len(every), -1)
+        number[shared] = np.arange(len(shared))
+        column = number[where]
+        common = np.zeros((len(seq), len(seq)), dtype=np.float32)
+        for c in range(0, len(shared), 4096):
+            inside = (column >= c) & (column < c + 4096)
+            m = np.zeros((len(seq), 4096), dtype=np.float32)
+            m[doc[inside], column[inside] - c] = 1
+            common += m @ m.T
+        k = common[i, j]
+        enough = k >= (threshold - 1e-9) * (n[i] + n[j] - k)
+        i, j = i[enough], j[enough]
+    root = dict(zip(comp.tolist(), comp.tolist()))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = find(int(comp[a])), find(int(comp[b]))
+        if x != y and similarity(seq[a], seq[b], threshold) >= threshold:
+            root[max(x, y)] = min(x, y)
+            out.append((node[a], node[b]))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -156,10 +247,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked if they have equal words. Texts that share an id are taken as one document. A null id takes a number
     hashed from its text. ``kept`` holds for the rows whose id is the class id. An empty table gives an empty result.
 
-    Large buckets: a pivot is compared with all members, and the members are dealt to overlapping shells by distance, which loses no pair within
-    reach; members already in one component need no comparison. So work stays linear in the members, and no pair is dropped.
+    Large buckets: all members are compared with a pivot, in two rounds; pairs within one component need no comparison. Texts with more
+    unshared shingles than a link allows are peeled off, which is exact. What pairs are left are compared block by block, none is dropped.
     """
-    limit = 1 - threshold
     base = materialise(sketches(docs, id_col, text_col), "omh")
     exact = materialise(
         base.where("sha is not null").groupBy("sha").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
@@ -171,9 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     buckets = materialise(buckets, "omh-buckets")
     shared = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "omh-shared")
-    entries = materialise(buckets.join(shared, "key").select("key", "t", "node", F.col("node").alias("comp")), "omh-entries")
-    discard(buckets, shared)
-    needed = materialise(entries.select("node").distinct(), "omh-nodes")
+    found = buckets.join(shared, "key").select("key", "t", "node")
+    needed = materialise(found.select("node").distinct(), "omh-nodes")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.sha2(F.col(text_col).cast("binary"), 256))).alias("node"), F.col(text_col).alias("text"))
 
     def sequences(batches):
@@ -183,54 +272,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     seqs = map_batches(texts.join(needed, "node", "left_semi"), sequences, "node long, seq binary")
     seqs = materialise(seqs.dropDuplicates(["node"]), "omh-sequences")
-    budget = max(PAIRS_LEAST, PAIRS_EACH * exact.count())
+    lengths = seqs.select("node", F.length("seq").alias("bytes"))
+    entries = materialise(
+        found.join(lengths, "node").select("key", "t", "node", F.col("node").alias("comp"), (F.col("bytes") / 4).cast("int").alias("n"), F.lit(0).alias("u")), "omh-entries"
+    )
+    discard(buckets, shared, needed)
     links: DataFrame | None = None
-    for step in range(MAX_PIVOTS + 1):
-        chosen = entries.where(F.col("t") < FIRST_TABLES) if step == 0 else entries
-        last = False
-        if step:
-            sizes = (
-                entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-                .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            )
-            left = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("left")).first()["left"] or 0
-            if not left:
-                break
-            last = left <= budget or step == MAX_PIVOTS
-        if last:
-            other = chosen.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = chosen.join(other, "key").where("comp <> comp_b and node < b").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            # the first pivots are the smallest ids, so that tables agree on them; later ones are picked by hash
-            pivot = F.min("node") if step == 0 else F.min_by("node", F.xxhash64("node", F.lit(step)))
-            pivots = materialise(
-                chosen.groupBy("key").agg(pivot.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-                .select("key", "pivot"), "omh-pivots"
-            )
-            starred = chosen.join(pivots, "key").select("key", "t", "node", "comp", "pivot")
-            pairs = starred.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        tested = materialise(verified(materialise(pairs, "omh-pairs"), seqs, threshold, exact=not last and step > 0), "omh-tested")
-        found = tested.where(F.col("distance") <= limit + 1e-9).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        if step:
-            measured = starred.withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(tested, ["a", "b"], "left")
-            shell = F.least(F.floor(F.coalesce("distance", F.lit(0.0)) / limit - 1e-9), F.lit(int(1 / limit) - 1)).cast("int")
-            dealt = measured.withColumn("shell", F.greatest(shell, F.lit(0))).withColumn(
-                "part", F.explode(F.array_distinct(F.array(F.greatest(F.col("shell") - 1, F.lit(0)), F.least("shell", F.lit(int(1 / limit) - 2)))))
-            )
-            entries = dealt.select(F.xxhash64("key", "part", F.lit(step)).alias("key"), "t", "node")
-        labels = components(links)
-        fresh = materialise(
-            entries.select("key", "t", "node").join(labels, "node", "left").select("key", "t", "node", F.coalesce("component", "node").alias("comp")),
-            "omh-entries",
+    for step, last_table in enumerate((FIRST_TABLES, TABLES)):
+        # the first pivots are the smallest ids, so that tables agree on them; the next are picked by hash
+        pivot = F.min("node") if step == 0 else F.min_by("node", F.xxhash64("node", F.lit(step)))
+        chosen = entries.where(F.col("t") < last_table)
+        pivots = materialise(
+            chosen.groupBy("key").agg(pivot.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            .select("key", "pivot"), "omh-pivots"
         )
-        alive = materialise(
-            fresh.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "omh-alive"
+        own = pivots.join(entries.select("key", F.col("node").alias("pivot"), F.col("comp").alias("own"), F.col("n").alias("n_p"), F.col("u").alias("u_p")), ["key", "pivot"])
+        own = materialise(own, "omh-pivots")
+        pairs = (
+            chosen.join(own, "key").where((F.col("comp") != F.col("own")) & possible(threshold, "n", "u", "n_p", "u_p"))
+            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         )
-        entries = materialise(fresh.join(alive, "key").select("key", "t", "node", "comp"), "omh-entries")
-        discard(fresh, alive)
+        found = accepted(pairs, seqs, threshold)
+        links = found if links is None else links.unionByName(found)
+        entries = alive(entries.drop("comp"), components(links))
+        for _ in range(PEELS):
+            entries = peeled(entries, seqs, threshold)
+        discard(pivots, own)
+    links = links.unionByName(compared(entries, seqs, threshold))
     labels = components(links)
     classes = materialise(
         exact.select("sha", "node").join(labels, "node", "left").select("sha", F.coalesce("component", "node").alias("class")), "omh-classes"
