@@ -10,6 +10,7 @@ from functools import cached_property
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,15 +316,25 @@ def encoded(docs: DataFrame, model: str | None = None, text_col: str = "text", c
 
     def run(batches):
         encoder = Encoder(pieces)
+
+        def together(frames):
+            pdf = pd.concat(frames, ignore_index=True)
+            texts = [t if isinstance(t, str) else None for t in pdf[text_col]]
+            ids = encoder.encode(texts)
+            pdf = pdf.assign(piece_ids=ids, n_pieces=np.array([0 if x is None else len(x) for x in ids], dtype=np.int32))
+            return pdf.assign(round_trip=[decode(x, pieces) == t for x, t in zip(ids, texts)]) if check else pdf
+
+        held, chars = [], 0
         for pdf in batches:
-            sizes = pdf[text_col].str.len().fillna(0).to_numpy()
-            group = (np.cumsum(sizes) // BATCH_CHARS).astype(int)
-            for g in np.unique(group):
-                part = pdf[group == g]
-                texts = [t if isinstance(t, str) else None for t in part[text_col]]
-                ids = encoder.encode(texts)
-                part = part.assign(piece_ids=ids, n_pieces=np.array([0 if x is None else len(x) for x in ids], dtype=np.int32))
-                yield part.assign(round_trip=[decode(x, pieces) == t for x, t in zip(ids, texts)]) if check else part
+            sizes = pdf[text_col].str.len().fillna(0)
+            for _, part in pdf.groupby(sizes.cumsum() // BATCH_CHARS):
+                held.append(part)
+                chars += sizes[part.index].sum()
+                if chars >= BATCH_CHARS:
+                    yield together(held)
+                    held, chars = [], 0
+        if held:
+            yield together(held)
 
     return map_batches(docs, run, schema)
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import components, map_batches, materialise, ready, table
+from tidewater.llm.common import components, map_batches, materialise, ready, table, whole_groups
 
 COSINE = 0.98
 #: Lattice tables, scale of the projections (cells have minimal distance sqrt(2)) and neighbouring cells probed.
@@ -149,52 +149,33 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     work = work.repartition(parts, "label", "cell", "lo", "hi").sortWithinPartitions("label", "cell", "lo", "hi")
 
-    def link(batches):
-        rest = None
-        for pdf in itertools.chain(batches, [None]):
-            if pdf is not None:
-                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-                keys = rest[["label", "cell", "lo", "hi"]]
-                same = (keys == keys.iloc[-1]).all(axis=1).to_numpy() if len(rest) else np.zeros(0, bool)
-                ready_rows, rest = rest[~same], rest[same]
-            else:
-                ready_rows = rest
-            if ready_rows is not None and len(ready_rows):
-                yield from linked(ready_rows)
-
-    def linked(pdf):
-        nodes, mult, out = pdf["node"].to_numpy(), pdf["mult"].to_numpy(), []
-        c = np.stack(pdf["cells"].to_numpy())
-        keys = pdf[["label", "cell", "lo", "hi"]].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        own, lo, hi, cell = (pdf[k].to_numpy() for k in ("own", "lo", "hi", "cell"))
-        for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
-            if b - a < 2:
-                continue
-            x = np.stack(pdf["vector"].to_numpy()[a:b])
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            at = np.arange(b - a)
-            left = at[own[a:b] == lo[a]]
-            right = None if lo[a] == hi[a] else at[own[a:b] == hi[a]]
-            i, j, new = linked_pairs(x, c[a:b], cell[a], left, right, cosine)
-            if not len(i):
-                continue
-            counts = np.zeros(b - a, dtype=np.int64)
-            np.add.at(counts, i[new], mult[a:b][j[new]])
-            np.add.at(counts, j[new], mult[a:b][i[new]])
-            root = nodes[a:b].copy()
-            while True:
-                was = root.copy()
-                np.minimum.at(root, i, was[j])
-                np.minimum.at(root, j, was[i])
-                if (root == was).all():
-                    break
-            touched = np.union1d(i, j)
-            out.append(pd.DataFrame({"a": nodes[a:b][touched], "b": root[touched], "n": counts[touched]}))
-        if out:
-            yield pd.concat(out)
-
-    links = materialise(map_batches(work, link, "a long, b long, n long"), "lattice-links")
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        if len(pdf) < 2:
+            return None
+        nodes, mult = pdf["node"].to_numpy(), pdf["mult"].to_numpy()
+        c, x = np.stack(pdf["cells"].to_numpy()), np.stack(pdf["vector"].to_numpy())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+        left = np.flatnonzero(pdf["own"] == lo)
+        right = None if lo == hi else np.flatnonzero(pdf["own"] == hi)
+        i, j, new = linked_pairs(x, c, pdf["cell"].iloc[0], left, right, cosine)
+        if not len(i):
+            return None
+        counts = np.zeros(len(pdf), dtype=np.int64)
+        np.add.at(counts, i[new], mult[j[new]])
+        np.add.at(counts, j[new], mult[i[new]])
+        root = nodes.copy()
+        while True:
+            was = root.copy()
+            np.minimum.at(root, i, was[j])
+            np.minimum.at(root, j, was[i])
+            if (root == was).all():
+                break
+        touched = np.union1d(i, j)
+        return pd.DataFrame({"a": nodes[touched], "b": root[touched], "n": counts[touched]})
+
+    keys = ["label", "cell", "lo", "hi"]
+    links = materialise(map_batches(work, lambda b: whole_groups(b, keys, linked), "a long, b long, n long"), "lattice-links")
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     labels = components(links.where("a <> b").select("a", "b"))
     known = materialise(
