@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tidewater.operators import grouping as G
 from tidewater.operators import joins as J
 from tidewater.operators import tables as B
 from tidewater.plans.lower import Session, qexec
+from tidewater.sources import files as X
+from tidewater.sources import generators
 from tidewater.sources.files import table
 from tidewater.streaming import pubsub as P
 
@@ -324,12 +327,12 @@ def _frame(n: int) -> str:
 
 @query(
     f"SELECT event_id, count(*) {_frame(5)} AS n, round(sum(value) {_frame(5)}, 4) AS s, round(avg(value) {_frame(5)}, 6) AS a, "
-    f"round(var_pop(value) {_frame(5)}, 4) AS v, round(stddev_pop(value) {_frame(5)}, 4) AS sd FROM events"
+    f"round(var_pop(value) {_frame(5)} + 1e-7, 4) AS v, round(stddev_pop(value) {_frame(5)} + 1e-7, 4) AS sd FROM events"
 )
 def mcount_msum_mavg_mvar_mdev(spark, d):
     return _events(spark, d).select(
         "event_id", W.mcount(5, _u()).alias("n"), F.round(W.msum(5, "value", _u()), 4).alias("s"), F.round(W.mavg(5, "value", _u()), 6).alias("a"),
-        F.round(W.mvar(5, "value", _u()), 4).alias("v"), F.round(W.mdev(5, "value", _u()), 4).alias("sd"),
+        F.round(W.mvar(5, "value", _u()) + 1e-7, 4).alias("v"), F.round(W.mdev(5, "value", _u()) + 1e-7, 4).alias("sd"),
     )
 
 
@@ -626,7 +629,7 @@ def array_functions(spark, d):
     )
 
 
-@query("SELECT user_id, list_grade_up(list(value ORDER BY event_id)) AS g FROM events WHERE user_id < 30 GROUP BY user_id")
+@query("WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id < 30) SELECT user_id, list(k ORDER BY value, k) AS g FROM e GROUP BY user_id")
 def array_grade(spark, d):
     e = G.xgroup("user_id", table(spark, d, "events").where("user_id < 30").select("user_id", "value", "event_id"), "event_id")
     return e.select("user_id", F.transform(L.iasc("value"), lambda i: (i + 1).cast("long")).alias("g"))
@@ -656,11 +659,11 @@ def symstats(spark, d):
 
 
 @query(
-    f"WITH {QUOTES} SELECT qid, round((bid + ask) / 2, 6) AS mid, round(ask - bid, 6) AS spread, round((bid * asz + ask * bsz) / (bsz + asz), 6) AS micro, "
+    f"WITH {QUOTES} SELECT qid, round((bid + ask) / 2, 8) AS mid, round(ask - bid, 8) AS spread, round((bid * asz + ask * bsz) / (bsz + asz), 8) AS micro, "
     "floor(0.5 + (bsz - asz) / (bsz + asz) * 10000) / 10000 AS imbal FROM quotes"
 )
 def mid_spread_micro(spark, d):
-    return quotes(spark, d).select("qid", F.round(K.mid(), 6).alias("mid"), F.round(K.spread(), 6).alias("spread"), F.round(K.micro(), 6).alias("micro"), K.imbal().alias("imbal"))
+    return quotes(spark, d).select("qid", F.round(K.mid(), 8).alias("mid"), F.round(K.spread(), 8).alias("spread"), F.round(K.micro(), 8).alias("micro"), K.imbal().alias("imbal"))
 
 
 @query(
@@ -690,6 +693,157 @@ def stream_sessions(spark, d):
     return P.drain(made)
 
 
+@query("SELECT ts AS time, user_id, event_type, value, event_id FROM events")
+def stream_pubsub(spark, d):
+    """Publish two batches and read the stream's table back."""
+    hub = P.Hub(spark, scratch(spark, "hub"))
+    e = table(spark, d, "events").select(F.col("ts").alias("time"), "user_id", "event_type", "value", "event_id")
+    hub.define("ticks", e.limit(0))
+    for half in (0, 1):
+        hub.publish("ticks", e.where(F.col("event_id") % 2 == half))
+    return hub.get("ticks")
+
+
+@query("SELECT time_bucket(INTERVAL 30 MINUTE, ts + o * INTERVAL 30 MINUTE, TIMESTAMP '2000-01-01') - INTERVAL 30 MINUTE AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(o) GROUP BY 1, 2")
+def stream_sliding(spark, d):
+    made = P.sliding(P.follow_file(spark, d, "events.parquet"), "ts", "60 minutes", "30 minutes", ["event_type"], {"n": F.count(F.lit(1))})
+    return P.drain(made)
+
+
+# ---- files ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type")
+def partition_roundtrip(spark, d):
+    """Write by partition and read two partitions back; the others are not opened."""
+    path = scratch(spark, "parts")
+    X.partsave(path, table(spark, d, "events"), "event_type")
+    some = X.partload(spark, path, F.col("event_type").isin("click", "view"))
+    return some.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def partition_list(spark, d):
+    path = scratch(spark, "parts")
+    X.partsave(path, table(spark, d, "events"), "event_type")
+    return X.parts(spark, path, "event_type")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_roundtrip(spark, d):
+    """Types are found again from the text."""
+    path = scratch(spark, "csv")
+    X.write_csv(table(spark, d, "customer"), path)
+    return X.read_csv(spark, path)
+
+
+@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
+def json_roundtrip(spark, d):
+    path = scratch(spark, "json")
+    X.write_json(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), path)
+    return X.read_json(spark, path, "p_partkey long, p_name string, p_size long, p_retailprice double")
+
+
+@query("SELECT * FROM orders")
+def splay_roundtrip(spark, d):
+    path = scratch(spark, "splay")
+    X.splay(path, table(spark, d, "orders"))
+    return X.dload(spark, path)
+
+
+@query("SELECT * FROM nation")
+def arrow_roundtrip(spark, d):
+    return X.arrow_import(spark, X.arrow_export(table(spark, d, "nation")))
+
+
+@query("SELECT n_nationkey AS k, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS value FROM nation")
+def json_encode(spark, d):
+    n = table(spark, d, "nation")
+    return n.select(F.col("n_nationkey").alias("k"), L.to_json(F.struct("n_nationkey", "n_name")).alias("value"))
+
+
+@query("SELECT string_split(text, chr(10))[1] AS first, count(*) AS n FROM conversations GROUP BY 1")
+def lines_roundtrip(spark, d):
+    path = scratch(spark, "lines")
+    X.write_lines(table(spark, d, "conversations").select(F.get(F.split("text", "\n"), F.lit(0)).alias("value")), path)
+    return X.read_lines(spark, path).groupBy(F.col("value").alias("first")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def generated_quotes(spark, d):
+    return generators.quotes(spark, 5000)
+
+
+@query()
+def generated_trades(spark, d):
+    return generators.trades(spark, 5000)
+
+
+@query()
+def generated_options(spark, d):
+    return generators.options(spark, 1000)
+
+
+# ---- more values ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT user_id, map_from_entries(list((event_type, n) ORDER BY event_type)) ->> 'click' AS clicks, len(list(event_type))::INTEGER AS kinds "
+    "FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id"
+)
+def map_lookup(spark, d):
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = n.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    return m.select("user_id", F.try_element_at("m", F.lit("click")).cast("string").alias("clicks"), F.size(L.keys("m")).alias("kinds"))
+
+
+@query(
+    "WITH x AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, v[1:3] AS head, v[-2:] AS tail, list_reverse(v)[1] AS last, "
+    "list_sort(v)[1] AS low, list_filter(v, lambda a: a > 99) AS high, len(v)::INTEGER AS n FROM x WHERE len(v) > 3"
+)
+def array_shape(spark, d):
+    x = G.xgroup("user_id", table(spark, d, "events").select("user_id", "value", "event_id"), "event_id").where(F.size("value") > 3)
+    v = F.col("value")
+    return x.select(
+        "user_id", L.sublist(3, v).alias("head"), L.sublist(-2, v).alias("tail"), L.first(L.reverse(v)).alias("last"), L.first(L.asc(v)).alias("low"), L.keep(lambda a: a > 99, v).alias("high"), L.count(v).alias("n")
+    )
+
+
+@query("SELECT o_orderkey, TRY_CAST(o_orderpriority[1] AS BIGINT) AS p, trunc(o_totalprice)::BIGINT AS whole, o_totalprice > 0 AS some, o_orderkey::VARCHAR AS text FROM orders")
+def casts(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", M.cast("long", F.substring("o_orderpriority", 1, 1)).alias("p"), M.cast("long", F.col("o_totalprice")).alias("whole"), M.cast("bool", F.col("o_totalprice")).alias("some"), S.string("o_orderkey").alias("text"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN value / (user_id % 3) END AS q, least(value, 50) AS lo, greatest(value, 50) AS hi, value = 0 AS zero FROM events")
+def num_division(spark, d):
+    e = table(spark, d, "events")
+    v = F.col("value")
+    return e.select("event_id", M.fdiv(v, F.col("user_id") % 3).alias("q"), M.smaller(v, 50.0).alias("lo"), M.larger(v, 50.0).alias("hi"), M.not_(v).alias("zero"))
+
+
+@query("SELECT p_partkey, p_size + 1.0::DOUBLE AS spot, 50.0::DOUBLE AS half FROM part WHERE p_size > 10")
+def template_literals(spark, d):
+    s = Session(part=table(spark, d, "part"))
+    return s.q("select p_partkey, spot:p_size+1.0, half:round[2;100*0.5] from part where p_size>10")
+
+
+@query("SELECT user_id, round(avg(value), 9) AS mean, round(sum(value * event_id) / sum(event_id), 6) AS w, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def template_by_mixed(spark, d):
+    return rounded(session(spark, d).q("select mean:avg value, w:wavg[event_id;value], kinds:#?event_type by user_id from events").df.withColumn("mean", F.round("mean", 9)), 6, "w")
+
+
+@query(f"SELECT event_id, ts, user_id, event_type, value, props, round(avg(value) {_frame(3)}, 6) AS m, value - lag(value) {_OVER} AS step FROM events")
+def template_moving_by(spark, d):
+    return rounded(session(spark, d).q("update m:mavg[3;value], step:value-prev value by user_id from events"), 6, "m")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
