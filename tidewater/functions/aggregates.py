@@ -117,11 +117,11 @@ def last(x, order, over: WindowSpec | None = None) -> Column:
 
 def argmin(x, order, over: WindowSpec | None = None) -> Column:
     """Place in the order of the smallest value, the first of equals."""
-    return _o(F.min_by(_place(order), F.struct(_c(x), _place(order))), over)
+    return _o(F.min_by(_place(order), F.when(_c(x).isNotNull(), F.struct(_c(x), _place(order)))), over)
 
 
 def argmax(x, order, over: WindowSpec | None = None) -> Column:
-    return _o(F.min_by(_place(order), F.struct(-_c(x), _place(order))), over)
+    return _o(F.min_by(_place(order), F.when(_c(x).isNotNull(), F.struct(-_c(x), _place(order)))), over)
 
 
 def dot(x, y, over: WindowSpec | None = None) -> Column:
