@@ -88,8 +88,9 @@ def cells(x: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
-def linked_pairs(x: np.ndarray, c: np.ndarray, here: int, lo: np.ndarray, hi: np.ndarray | None, cosine: float):
-    """Linked pairs of the members lo (or of lo and hi), and which of them have no earlier common cell than ``here``."""
+def linked_pairs(x: np.ndarray, c: np.ndarray, nodes: np.ndarray, here: int, lo: np.ndarray, hi: np.ndarray | None, cosine: float):
+    """Linked pairs of the members lo (or of lo and hi), and which of them have no earlier common cell than ``here``, in the order of the
+    cells of the smaller id."""
     right = lo if hi is None else hi
     near = x[lo] @ x[right].T >= cosine
     if hi is None:
@@ -98,7 +99,8 @@ def linked_pairs(x: np.ndarray, c: np.ndarray, here: int, lo: np.ndarray, hi: np
     a, b = lo[i], right[j]
     new = np.ones(len(a), dtype=bool)
     for s in range(0, len(a), 4096):
-        u, v = c[a[s : s + 4096]], c[b[s : s + 4096]]
+        p, q = a[s : s + 4096], b[s : s + 4096]
+        u, v = c[np.where(nodes[p] < nodes[q], p, q)], c[np.where(nodes[p] < nodes[q], q, p)]
         common = (u[:, :, None] == v[:, None, :]).any(axis=2)
         first = common.argmax(axis=1)
         new[s : s + 4096] = u[np.arange(len(u)), first] == here
@@ -158,7 +160,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         left = np.flatnonzero(pdf["own"] == lo)
         right = None if lo == hi else np.flatnonzero(pdf["own"] == hi)
-        i, j, new = linked_pairs(x, c, pdf["cell"].iloc[0], left, right, cosine)
+        i, j, new = linked_pairs(x, c, nodes, pdf["cell"].iloc[0], left, right, cosine)
         if not len(i):
             return None
         counts = np.zeros(len(pdf), dtype=np.int64)
