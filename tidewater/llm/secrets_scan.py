@@ -43,7 +43,7 @@ DICTIONARY = frozenset(
     "example sample your here change please secret token password api access".split()
 )
 _RUN = np.zeros(128, dtype=bool)
-_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/="]] = True
+_RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/"]] = True
 FEATURES = 20
 
 
@@ -66,8 +66,8 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     for i in np.flatnonzero(ends - starts >= SHORTEST):
         s, e = int(starts[i]), int(ends[i])
         run = text[s:e]
-        lead = len(run) - len(run.lstrip("=-+/_"))
-        run = run.strip("=-+/_")
+        lead = len(run) - len(run.lstrip("-+/_"))
+        run = run.strip("-+/_")
         s, e = s + lead, s + lead + len(run)
         if e - s >= SHORTEST and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
             found.append((s, e, "mixed"))
