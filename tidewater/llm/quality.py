@@ -105,25 +105,31 @@ def descend(model: Model, xp: np.ndarray, xu: np.ndarray, prior: float, rounds:
     model.weights = w
 
 
-def class_prior(model: Model, xp: np.ndarray, xu: np.ndarray) -> float:
+def class_prior(xp: np.ndarray, xu: np.ndarray) -> float:
     """Share of positives among the unlabelled: the smallest ratio, over score thresholds, of the share of unlabelled to that of
-    positives above it, with a margin for the size of the samples. Scores come from positives against unlabelled."""
-    n = min(len(xp), len(xu))
-    x, y = np.concatenate([xp, xu]), np.concatenate([np.ones(len(xp)), np.zeros(len(xu))])
-    weight = np.where(y == 1, 0.5 / len(xp), 0.5 / len(xu))
-    w = np.zeros(x.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, 201):
-        grad = (weight * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) @ x + 1e-4 * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    sp, su = np.sort(xp @ w), np.sort(xu @ w)
-    cuts = np.quantile(sp, np.linspace(0, 0.9, 181))
-    qp = 1 - np.searchsorted(sp, cuts, side="left") / len(sp)
-    qu = 1 - np.searchsorted(su, cuts, side="left") / len(su)
-    margin = math.sqrt(math.log(4 / 0.1) / (2 * n))
-    best = int(np.argmin((qu + margin) / qp))
-    return float(np.clip(qu[best] / qp[best], 0.05, 0.98))
+    positives above it, with a margin for the size of the samples. Scores come from positives against unlabelled, fitted on one half and
+    read on the other, in turn: on what it was fitted to, a model tells positives from unlabelled ones that are no different."""
+    found = []
+    for half in (0, 1):
+        (fp, rp), (fu, ru) = (xp[half::2], xp[1 - half :: 2]), (xu[half::2], xu[1 - half :: 2])
+        if not min(map(len, (fp, rp, fu, ru))):
+            continue
+        x, y = np.concatenate([fp, fu]), np.concatenate([np.ones(len(fp)), np.zeros(len(fu))])
+        weight = np.where(y == 1, 0.5 / len(fp), 0.5 / len(fu))
+        w = np.zeros(x.shape[1])
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for step in range(1, 151):
+            grad = (weight * (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y)) @ x + 1e-3 * w
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        sp, su = np.sort(rp @ w), np.sort(ru @ w)
+        cuts = np.quantile(sp, np.linspace(0, 0.9, 181))
+        qp = 1 - np.searchsorted(sp, cuts, side="left") / len(sp)
+        qu = 1 - np.searchsorted(su, cuts, side="left") / len(su)
+        margin = math.sqrt(math.log(4 / 0.1) / 2) * (1 / math.sqrt(len(sp)) + 1 / math.sqrt(len(su)))
+        best = int(np.argmin((qu + margin) / qp))
+        found.append(qu[best] / qp[best])
+    return float(np.clip(np.mean(found), 0.05, 0.98)) if found else 0.5
 
 
 def share(total: int, wanted: int, key, salt: str):
@@ -153,14 +159,14 @@ def train(
     )
     rows = with_features(sample.select("_positive", "_unlabelled", text_col), text_col).toPandas()
     x = np.array(rows["_features"].tolist(), dtype=float).reshape(len(rows), FEATURES)
-    is_p, is_u = rows["_positive"].fillna(False).to_numpy(bool), rows["_unlabelled"].to_numpy(bool)
+    is_p, is_u = rows["_positive"].eq(True).to_numpy(bool), rows["_unlabelled"].to_numpy(bool)
     if not is_p.any() or not is_u.any():
         model = Model(np.zeros((1, FEATURES)))
         model.constant = 0.5
         return model
     model = Model(x[is_u])
     xp, xu = model.inputs(x[is_p]), model.inputs(x[is_u])
-    model.prior = class_prior(model, xp, xu)
+    model.prior = class_prior(xp, xu)
     descend(model, xp, xu, model.prior)
     return model
 
