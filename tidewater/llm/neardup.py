@@ -311,3 +311,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE texts AS (SELECT text, min(doc_id) AS node FROM documents WHERE text IS NOT NULL GROUP BY text),
+words AS (SELECT node, string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+') AS w FROM texts WHERE regexp_matches(text, '\\S')),
+sets AS (SELECT node, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words),
+each AS (SELECT node, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.node AS a, b.node AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+),
+reach AS (SELECT node, node AS other FROM texts UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
+classes AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, d.doc_id = coalesce(class_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN texts USING (text) LEFT JOIN classes USING (node)
+"""

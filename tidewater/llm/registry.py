@@ -25,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op4_near_duplicates": neardup.ORACLE_SQL,
+        "op5_near_vectors": vectors.NEAR_SQL,
+        "op9_source_mixing": mixing.ORACLE_SQL,
+    }
