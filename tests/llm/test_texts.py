@@ -270,6 +270,13 @@ def test_mixing_many_sources_by_join(spark, monkeypatch):
     assert mixing.mix(docs(spark, []).limit(0)).count() == 0
 
 
+def test_mixing_a_rare_source_very_often(spark):
+    rows = [(i, "t", "en", "rare" if i == 0 else "common") for i in range(2000)]
+    got = mixing.mix(docs(spark, rows), {"rare": 1.0, "common": 0.0}, total=5000)
+    copies = [r["mix_copy"] for r in got.collect()]
+    assert sorted(copies) == list(range(len(copies))) and 4600 < len(copies) < 5400
+
+
 def test_poisson_quantiles(spark):
     """The count is the Poisson quantile of the hashed number."""
     import hashlib

@@ -12,6 +12,9 @@ from tidewater.llm.common import table
 
 #: Rates of so many sources are sent to every executor; more than that are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: A larger rate is drawn as the sum of several Poisson numbers, so that no distribution table is long or underflows.
+LARGEST_RATE = 500.0
+COPIES_AT_ONCE = 1000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -87,8 +90,9 @@ def mix(
     spark = docs.sparkSession
     docs = docs.drop("mix_copies", "mix_copy", "mix_position")
     keep = [c for c in (keep or docs.columns) if c in docs.columns]
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / LARGEST_RATE)).cast("int")
     by_source = rates(docs, weights, total, source_col).select(
-        F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf")
+        F.col("source").alias("_mix_source"), parts.alias("_mix_parts"), poisson_cdf(F.col("rate") / parts).alias("_mix_cdf")
     )
     few = by_source.limit(BROADCAST_SOURCES + 1).collect()
     cond = F.col(source_col).eqNullSafe(F.col("_mix_source"))
@@ -97,13 +101,15 @@ def mix(
         joined = docs.join(F.broadcast(lookup), cond)
     else:
         joined = docs.join(by_source, cond)
-    draw = uniform(seed, F.col(id_col))
-    counted = joined.withColumn("_mix_u", draw).withColumn(
-        "mix_copies", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
+    below = lambda u: F.size(F.filter("_mix_cdf", lambda c: c <= u))
+    many = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts")), F.lit(0), lambda n, k: n + below(uniform(seed, F.col(id_col), k)))
+    counted = joined.withColumn("_mix_u", uniform(seed, F.col(id_col))).withColumn(
+        "mix_copies", F.when(F.col("_mix_parts") == 1, below(F.col("_mix_u"))).otherwise(many)
     )
     drawn = (
         counted.where("mix_copies > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+        .withColumn("_mix_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("mix_copies") - 1) / COPIES_AT_ONCE).cast("int"))))
+        .withColumn("mix_copy", F.explode(F.sequence(F.col("_mix_part") * COPIES_AT_ONCE, F.least("mix_copies", (F.col("_mix_part") + 1) * COPIES_AT_ONCE) - 1)))
         .withColumn("mix_position", uniform(seed + 1, F.col(id_col), F.col("mix_copy")))
     )
     return drawn.select(*keep, "mix_copies", "mix_copy", "mix_position").orderBy("mix_position")
