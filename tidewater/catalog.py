@@ -66,8 +66,6 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
 def session(spark: SparkSession, d: str) -> Session:
     s = Session()
     s.define("events", table(spark, d, "events"), ["event_id"])
-    s.define("trades", trades(spark, d), ["id"])
-    s.define("lineitem", table(spark, d, "lineitem"), ["l_orderkey", *LINE_ORDER])
     return s
 
 
