@@ -18,8 +18,8 @@ from tidewater.llm.common import extended, map_batches, table
 
 SPACE = "▁"
 #: A batch's texts are encoded together up to so many characters; so many distinct units are remembered in a task.
-BATCH_CHARS = 8_000_000
-REMEMBERED = 1_500_000
+BATCH_CHARS = 1_500_000
+REMEMBERED = 400_000
 
 
 def default_model() -> str:
@@ -87,7 +87,7 @@ class Pieces:
     def priority(self) -> np.ndarray:
         """Place of each long piece by score, the highest first; equal scores share one."""
         score = np.array([self.scores[i] for i in self.long_ids])
-        return np.unique(-score, return_inverse=True)[1].astype(np.int64)
+        return np.unique(-score, return_inverse=True)[1].astype(np.int32)
 
     @cached_property
     def units(self) -> re.Pattern:
@@ -109,63 +109,87 @@ class Pieces:
         return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` characters at least: by as many as fit in a word, then by prefix doubling."""
+def packing(text: np.ndarray, depth: int) -> tuple[np.ndarray, int, int]:
+    """Number of each character that is in the text (0 for others), bits of a number, and how many numbers one word takes."""
+    number = np.zeros(int(text.max()) + 1 if len(text) else 1, dtype=np.int64)
+    number[text] = 1
+    number = np.cumsum(number) * number
+    bits = int(number.max()).bit_length()
+    return number, bits, min(depth, max(1, 62 // max(1, bits)))
+
+
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by their first ``depth`` characters at least: by as many as fit in a word, then by prefix doubling. And the
+    sorted words."""
     n = len(text)
-    present = np.zeros(int(text.max()) + 1 if n else 1, dtype=np.int64)
-    present[text] = 1
-    rank = np.cumsum(present)[text]
-    bits = int(present.sum()).bit_length()
-    width = max(1, 62 // bits)
+    number, bits, width = packing(text, depth)
+    rank = number[text]
     key = np.zeros(n, dtype=np.int64)
     for k in range(width):
         key <<= bits
         key[: max(0, n - k)] |= rank[k:]
+    words = None
     while True:
         order = np.argsort(key)
+        words = key[order] if words is None else words
         if width >= depth:
-            return order
-        sorted_ = key[order]
+            return order, words
+        ranked = key[order]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate(([1], 1 + np.cumsum(sorted_[1:] != sorted_[:-1])))[:n]
+        rank[order] = np.concatenate(([1], 1 + np.cumsum(ranked[1:] != ranked[:-1])))[:n]
         key = rank * (n + 1)
         key[: max(0, n - width)] += rank[width:]
         width *= 2
 
 
-def occurrences(text: np.ndarray, order: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """For each long piece, the stretch of the suffix array that starts with it; all pieces are searched at once."""
+def occurrences(text: np.ndarray, order: np.ndarray, words: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For each long piece, the stretch of the suffix array that starts with it, by binary search of all pieces at once: in the sorted words, and
+    from there on by characters for pieces longer than a word."""
     rows, lengths = pieces.matrix
-    padded = np.concatenate([text, np.zeros(pieces.longest, dtype=text.dtype)])
-    reach = np.arange(pieces.longest)
-    inside = reach[None, :] < lengths[:, None]
-
-    def bound(after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(rows), dtype=np.int64), np.full(len(rows), len(order), dtype=np.int64)
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                return lo
-            mid = (lo[open_] + hi[open_]) // 2
-            diff = np.where(inside[open_], padded[order[mid][:, None] + reach] - rows[open_], 0)
-            at = (diff != 0).argmax(axis=1)
-            sign = diff[np.arange(len(open_)), at]
-            right = sign <= 0 if after else sign < 0
-            lo[open_[right]], hi[open_[~right]] = mid[right] + 1, mid[~right]
-
-    return bound(False), bound(True)
+    number, bits, width = packing(text, pieces.longest)
+    known = np.where(rows < len(number), number[np.minimum(rows, len(number) - 1)], 0)
+    inside = np.arange(pieces.longest)[None, :] < lengths[:, None]
+    found = (known > 0).sum(axis=1, where=inside) == lengths
+    low, high = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+    for k in range(width):
+        here = inside[:, k]
+        low = (low << bits) | np.where(here, known[:, k], 0)
+        high = (high << bits) | np.where(here, known[:, k], (1 << bits) - 1)
+    lo, hi = np.searchsorted(words, low, side="left"), np.searchsorted(words, high, side="right")
+    hi = np.where(found, hi, lo)
+    deep = np.flatnonzero((lengths > width) & (lo < hi))
+    if len(deep):
+        padded = np.concatenate([text, np.zeros(pieces.longest, dtype=text.dtype)])
+        reach = np.arange(pieces.longest)
+
+        def bound(after: bool) -> np.ndarray:
+            a, b = lo[deep].copy(), hi[deep].copy()
+            while True:
+                open_ = np.flatnonzero(a < b)
+                if not len(open_):
+                    return a
+                mid = (a[open_] + b[open_]) // 2
+                which = deep[open_]
+                diff = np.where(inside[which], padded[order[mid][:, None] + reach] - rows[which], 0)
+                sign = diff[np.arange(len(open_)), (diff != 0).argmax(axis=1)]
+                right = sign <= 0 if after else sign < 0
+                a[open_[right]], b[open_[~right]] = mid[right] + 1, mid[~right]
+
+        lo[deep], hi[deep] = bound(False), bound(True)
+    return lo, hi
 
 
 def edges(text: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, row of the piece) of every occurrence of a long piece, by start."""
-    order = suffix_array(text, pieces.longest)
-    lo, hi = occurrences(text, order, pieces)
+    order, words = suffix_array(text, pieces.longest)
+    lo, hi = occurrences(text, order, words, pieces)
     count = hi - lo
-    row = np.repeat(np.arange(len(count)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-    start = order[at]
+    row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    at = np.arange(count.sum()) + np.repeat(lo - np.cumsum(count) + count, count)
+    start = order[at].astype(np.int32)
     by = np.argsort(start)
-    return start[by], pieces.matrix[1][row][by], row[by]
+    start, row = start[by], row[by]
+    return start, pieces.matrix[1].astype(np.int32)[row], row
 
 
 def merge(text: np.ndarray, unit: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -173,14 +197,15 @@ def merge(text: np.ndarray, unit: np.ndarray, start: np.ndarray, length: np.ndar
     priority = pieces.priority[row]
     most = int(priority.max(initial=0)) + 1
     if most * (int(unit[-1]) + 1) * len(text) < 2**63 - 1:
-        by = np.argsort((unit[start] * most + priority) * len(text) + start)
+        by = np.argsort((unit[start].astype(np.int64) * most + priority) * len(text) + start)
     else:
         by = np.lexsort((start, priority, unit[start]))
     start, end, row, owner = start[by], start[by] + length[by], row[by], unit[start[by]]
+    del by, priority
     starts = np.ones(len(text) + 1, dtype=bool)
     made = np.full(len(text), -1, dtype=np.int64)
     while len(start):
-        symbols = np.concatenate(([0], np.cumsum(starts)))
+        symbols = np.concatenate(([0], np.cumsum(starts, dtype=np.int32)), dtype=np.int32)
         inside = symbols[end] - symbols[start]
         alive = starts[start] & starts[end] & (inside > 1)
         start, end, row, owner, inside = start[alive], end[alive], row[alive], owner[alive], inside[alive]
@@ -249,7 +274,7 @@ class Encoder:
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         stops = np.cumsum(sizes + 1) - 1
         text[stops] = 0  # no piece holds it, so none crosses a unit
-        unit = np.repeat(np.arange(len(units)), sizes + 1)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes + 1)
         start, length, row = edges(text, p)
         if p.kind == "bpe":
             starts, made = merge(text, unit, start, length, row, p)
