@@ -23,6 +23,9 @@ from pyspark.sql import types as T
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,18 +90,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, by: str | None = None, into: DataFrame | None = None) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-    The table goes when the application ends, or earlier by ``discard``.
+    With ``by``, rows are laid out in as many buckets of that column as there are shuffle partitions, so that a later group or join on it
+    reads them where they are; ``into`` adds to a table written so. The table goes when the application ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    name = f"{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    # what a finished write has shuffled is of no more use
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        if by is None:
+            df.write.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+        else:
+            buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), name.replace("-", "_")
+            if into is not None:
+                path, name, buckets = into._shared_path, into._table, into._buckets
+            df.write.mode("append").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+            out = spark.table(name)
+            out._table, out._buckets = name, buckets
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 

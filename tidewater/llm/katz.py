@@ -22,14 +22,20 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import map_batches, materialise, ready, remainder, table
 
 BLOCK_TOKENS = 1_000_000
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 3_000_000
 #: Counts up to this one are discounted (Good-Turing); trigrams seen less than MIN_TRIGRAM times are left to the backoff.
 TOP = 5
 MIN_TRIGRAM = 2
 END = np.uint64(0x243F6A8885A308D3)
 BEGIN = np.uint64(0x13198A2E03707344)
+#: What is added up over blocks is whole numbers, so that sums are exact in any order: probability mass in units of 2**-44, and discounted
+#: counts in units of 2**-30, of which the discounts are multiples.
+UNIT = 2.0**44
+STEP = 2.0**30
+#: Place of the context before a document's first word.
+START = np.uint64(2**32 - 1)
 ROWS = "kind string, range int, block long, keys binary, first binary, second binary"
-ANSWERS = "kind string, range int, block long, first binary, second binary, own binary, stats array<double>"
+ANSWERS = "kind string, range int, block long, first binary, second binary, own binary, place binary, stats array<double>"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,6 +60,7 @@ def unpacked(data: bytes, kind) -> np.ndarray:
 
 
 def packed_keys(x: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
     return packed(np.diff(x, prepend=np.uint64(0)))
 
 
@@ -61,6 +68,30 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
 
 
+def packed_values(x: np.ndarray) -> bytes:
+    """Whole numbers, not negative."""
+    return packed(np.asarray(x).astype(np.uint64))
+
+
+def unpacked_values(data: bytes) -> np.ndarray:
+    return unpacked(data, np.uint64).astype(np.float64)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in order, where one of each is, and which of them each element is."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(x)]
+    which = np.empty(len(x), dtype=np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], order[new], which
+
+
+def key_bits(tokens_in_all: int) -> int:
+    """So many bits of a hash that fewer than one pair of n-grams is expected to share them, 64 at most."""
+    return min(64, max(40, 2 * math.ceil(math.log2(tokens_in_all + 2)) + 2))
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words between white space (space and 0x09 to 0x0D), with A to Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -112,7 +143,7 @@ def discounts(counts_of_counts: list[float], least: int = 1) -> np.ndarray:
     for r in range(1, TOP + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - shift) / (1 - shift) if n[r] and shift < 1 else -1.0
         out[r] = 0.0 if r < least else d if 0 < d < 1 else (r - 0.5) / r
-    return out
+    return np.rint(out * STEP) / STEP
 
 
 class Model:
@@ -148,114 +179,125 @@ def weights(count: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.
 class State:
     """A block's tokens with all that the answers so far say about them."""
 
-    def __init__(self, row):
+    def __init__(self, row, bits: int):
         self.block = int(row["block"])
         self.ids = row["ids"]
         sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         words = unpacked(row["words"], np.uint32)
-        vocabulary = np.concatenate(([END], np.frombuffer(row["hashes"], dtype=np.uint64)))
+        vocabulary = np.concatenate(([END], np.frombuffer(row["hashes"], dtype=np.uint64), [BEGIN]))
+        vocabulary &= ~np.uint64(2 ** (64 - bits) - 1)
+        self.mask = ~np.uint64(2 ** (64 - bits) - 1)
         self.learn = np.repeat(np.frombuffer(row["learn"], dtype=np.uint8), sizes)
-        self.keys1, self.word = np.unique(vocabulary, return_inverse=True)
-        self.word = self.word[words]
-        h = vocabulary[words]
-        self.first = np.zeros(len(h), dtype=bool)
+        self.keys1, _, which = distinct(vocabulary)
+        self.word = which[words]
+        self.first = np.zeros(len(words), dtype=bool)
         self.first[self.starts] = True
-        self.before = np.concatenate(([BEGIN], h[:-1]))
-        self.before[self.first] = BEGIN
-        earlier = np.concatenate(([BEGIN], self.before[:-1]))
-        earlier[self.first] = BEGIN
-        self.h, self.context = h, joined(earlier, self.before, 2)
-        self.pair = joined(self.before, h, 2)
-        self.keys2, self.at2, self.in2 = np.unique(self.pair, return_index=True, return_inverse=True)
+        self.before = np.concatenate(([0], self.word[:-1]))  # a word's number; BEGIN's in front of a document
+        self.before[self.first] = which[-1]
+        self.h = vocabulary[words]
+        self.pair = joined(self.keys1[self.before], self.h, 2) & self.mask
+        self.keys2, self.at2, self.in2 = distinct(self.pair)
 
     def tally(self, inverse: np.ndarray, n: int, where: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(inverse, weights=self.learn if where is None else self.learn[where], minlength=n)
 
     def counts(self, model: Model, answers) -> None:
-        """c1 and c2 of each token, and the counts of its contexts."""
+        """c1 and c2 of each token, and the counts of its contexts. Contexts are from here on known by where the tables have them."""
         self.model = model
-        self.c1 = answers("c1")[0][self.word]
-        two, _, self.own2 = answers("c2")
-        self.two, self.c2 = two, two[self.in2]
+        one, _, _, places1 = answers("c1")
+        self.two, _, self.own2, often = answers("c2")
+        places2 = np.zeros(len(self.two), dtype=np.uint64)
+        places2[self.two >= MIN_TRIGRAM] = often
+        self.c1, self.c2 = one[self.word], self.two[self.in2]
         self.p1 = model.unigram(self.c1)
-        shift = lambda x: np.where(self.first, float(model.documents), np.concatenate(([0.0], x[:-1])))
-        self.count1, self.count2 = shift(self.c1), shift(self.c2)
-        self.contexts1, self.of1 = np.unique(self.before, return_inverse=True)
+        shift = lambda x, start: np.where(self.first, start, np.concatenate(([start], x[:-1])))
+        self.count1, self.count2 = shift(self.c1, float(model.documents)), shift(self.c2, float(model.documents))
+        self.place1, self.place2 = places1[self.before], shift(places2[self.in2], START)
+        self.contexts1, _, self.of1 = distinct(self.place1)
         self.asks3 = np.flatnonzero((self.count2 >= MIN_TRIGRAM) & (self.c2 >= MIN_TRIGRAM))
-        triple = joined(self.context[self.asks3], self.h[self.asks3], 3)
-        self.keys3, self.at3, self.in3 = np.unique(triple, return_index=True, return_inverse=True)
+        context = shift(self.pair, BEGIN)[self.asks3]
+        self.keys3, self.at3, self.in3 = distinct(joined(context, self.h[self.asks3], 3) & self.mask)
 
     def mass1(self) -> tuple[np.ndarray, np.ndarray]:
         """For each context of one word, what the bigrams that this block accounts for keep, and their words' unigram mass."""
         seen = np.flatnonzero(self.own2 & (self.two > 0))
         at = self.at2[seen]
         n = len(self.contexts1)
-        return (np.bincount(self.of1[at], weights=self.model.discounted(2, self.two[seen]), minlength=n),
-                np.bincount(self.of1[at], weights=self.p1[at], minlength=n))
+        return (np.bincount(self.of1[at], weights=self.model.discounted(2, self.two[seen]) * STEP, minlength=n),
+                np.bincount(self.of1[at], weights=np.rint(self.p1[at] * UNIT), minlength=n))
 
     def bigrams(self, answers) -> None:
-        kept, lower, _ = answers("m1")
-        divisor, alpha = weights(self.count1, kept[self.of1], lower[self.of1])
+        kept, lower, _, _ = answers("m1")
+        divisor, alpha = weights(self.count1, kept[self.of1] / STEP, lower[self.of1] / UNIT)
         self.p2 = np.where(self.c2 > 0, self.model.discounted(2, self.c2) / divisor, alpha * self.p1)
-        three, _, self.own3 = answers("c3")
-        self.three = three
+        self.three, _, self.own3, _ = answers("c3")
         self.c3 = np.zeros(len(self.h))
-        self.c3[self.asks3] = three[self.in3]
+        self.c3[self.asks3] = self.three[self.in3]
         self.asks2 = np.flatnonzero(self.count2 >= MIN_TRIGRAM)
-        self.contexts2, self.of2 = np.unique(self.context[self.asks2], return_inverse=True)
+        self.contexts2, _, self.of2 = distinct(self.place2[self.asks2])
 
     def mass2(self) -> tuple[np.ndarray, np.ndarray]:
         seen = np.flatnonzero(self.own3 & (self.three >= MIN_TRIGRAM))
         at = self.asks3[self.at3[seen]]
-        where = np.searchsorted(self.contexts2, self.context[at])
+        where = np.searchsorted(self.contexts2, self.place2[at])
         n = len(self.contexts2)
-        return (np.bincount(where, weights=self.model.discounted(3, self.three[seen]), minlength=n),
-                np.bincount(where, weights=self.p2[at], minlength=n))
+        return (np.bincount(where, weights=self.model.discounted(3, self.three[seen]) * STEP, minlength=n),
+                np.bincount(where, weights=np.rint(self.p2[at] * UNIT), minlength=n))
 
     def trigrams(self, answers) -> np.ndarray:
-        kept, lower, _ = answers("m2")
+        kept, lower, _, _ = answers("m2")
         k, low = np.zeros(len(self.h)), np.zeros(len(self.h))
-        k[self.asks2], low[self.asks2] = kept[self.of2], lower[self.of2]
+        k[self.asks2], low[self.asks2] = kept[self.of2] / STEP, lower[self.of2] / UNIT
         divisor, alpha = weights(self.count2, k, low)
         return np.where(self.c3 >= MIN_TRIGRAM, self.model.discounted(3, self.c3) / divisor, alpha * self.p2)
 
 
-def sent(kind: str, block: int, ranges: int, keys: np.ndarray, first: np.ndarray, second: np.ndarray | None = None):
-    """Rows for the ranges; keys are sorted, and a range is a stretch of them."""
-    at = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+def sent(kind: str, block: int, ranges: int, keys: np.ndarray, first: np.ndarray, second: np.ndarray | None = None, shift: int = 0):
+    """Rows for the ranges; keys are sorted, and a range is a stretch of them. Hashes (``shift``: their unused bits) are spread evenly;
+    places name their range in the upper half."""
+    at = keys >> np.uint64(32)
+    if kind[0] == "c":
+        at = (at * np.uint64(ranges)) >> np.uint64(32)
     cuts = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
     for r in range(ranges):
         a, b = cuts[r], cuts[r + 1]
         if a < b:
-            yield (kind, r, block, packed_keys(keys[a:b]), packed(first[a:b].astype(np.float64)), None if second is None else packed(second[a:b]))
+            yield (kind, r, block, packed_keys(keys[a:b] >> np.uint64(shift)), packed_values(first[a:b]), None if second is None else packed_values(second[a:b]))
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1 for counts."""
+def summed(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1 for counts. With the answers before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         keys = [unpacked_keys(k) for k in pdf["keys"]]
-        every, first_at, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        first = np.bincount(inverse, weights=np.concatenate([unpacked(x, np.float64) for x in pdf["first"]]))
+        every, owner, which = distinct(np.concatenate(keys))
+        first = np.bincount(which, weights=np.concatenate([unpacked_values(x) for x in pdf["first"]]), minlength=len(every))
         kind, r = pdf["kind"].iloc[0], int(pdf["range"].iloc[0])
         second = None
         if pdf["second"].iloc[0] is not None:
-            second = np.bincount(inverse, weights=np.concatenate([unpacked(x, np.float64) for x in pdf["second"]]))
-        own = np.zeros(len(inverse), dtype=bool)
-        own[first_at] = True
+            second = np.bincount(which, weights=np.concatenate([unpacked_values(x) for x in pdf["second"]]), minlength=len(every))
+        own = np.zeros(len(which), dtype=bool)
+        own[owner] = True
         out, at = [], 0
         for block, k in zip(pdf["block"], keys):
-            part = slice(at, at + len(k))
-            out.append((kind, r, block, packed(first[inverse[part]]), None if second is None else packed(second[inverse[part]]), packed(own[part].view(np.uint8)), None))
+            part = which[at : at + len(k)]
+            mine = packed(own[at : at + len(k)].view(np.uint8)) if kind in ("c2", "c3") else None
+            # a pair is looked up as a context only if it came often enough to start a trigram
+            used = part if kind == "c1" else part[first[part] >= MIN_TRIGRAM]
+            place = packed_keys(used.astype(np.uint64)) if kind in ("c1", "c2") else None
+            out.append((kind, r, block, packed_values(first[part]), None if second is None else packed_values(second[part]), mine, place, None))
             at += len(k)
         if kind[0] == "c":
             few = np.bincount(np.minimum(first, TOP + 2).astype(np.int64), minlength=TOP + 3)
-            out.append((kind, r, -1, None, None, None, [float(first.sum()), float((first > 0).sum()), *map(float, few[1 : TOP + 2])]))
+            out.append((kind, r, -1, None, None, None, None, [float(first.sum()), float((first > 0).sum()), *map(float, few[1 : TOP + 2])]))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
 
-    return materialise(ready(rows).groupBy("kind", "range").applyInPandas(run, ANSWERS), "katz-answers")
+    answers = ready(rows).groupBy("kind", "range").applyInPandas(run, ANSWERS)
+    # laid out like the blocks, so that no later pass shuffles either
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(answers.repartition(parts, "block"), "katz_answers", by="block", into=before)
 
 
 def statistics(answers: DataFrame) -> dict[str, list[float]]:
@@ -268,15 +310,15 @@ def statistics(answers: DataFrame) -> dict[str, list[float]]:
 
 
 def lookup(answers: pd.DataFrame):
-    """The answers to a block about one kind, in the order of its sorted keys."""
+    """The answers to a block about one kind, in the order of its sorted keys: two numbers, whether the block accounts for the n-gram,
+    and its place in the tables."""
 
     def of(kind: str):
         rows = answers[answers["kind"] == kind].sort_values("range")
-        if not len(rows):
-            return np.zeros(0), np.zeros(0), np.zeros(0, bool)
-        second = [unpacked(x, np.float64) for x in rows["second"] if x is not None]
-        return (np.concatenate([unpacked(x, np.float64) for x in rows["first"]]), np.concatenate(second) if second else np.zeros(0),
-                np.concatenate([unpacked(x, np.uint8) for x in rows["own"]]).astype(bool))
+        put = lambda parts, kind: np.concatenate(parts) if len(parts) else np.zeros(0, kind)
+        has = lambda c: [(r, x) for r, x in zip(rows["range"], rows[c]) if x is not None]
+        return (put([unpacked_values(x) for _, x in has("first")], np.float64), put([unpacked_values(x) for _, x in has("second")], np.float64),
+                put([unpacked(x, np.uint8).astype(bool) for _, x in has("own")], bool), put([unpacked_keys(x) + np.uint64(int(r) << 32) for r, x in has("place")], np.uint64))
 
     return of
 
@@ -290,18 +332,20 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     table gives an empty result; with nothing to learn from, every token is the unknown class, of probability 1.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = materialise(cut(source), "katz-blocks")
+    blocks = materialise(cut(source), "katz_blocks", by="block")
     all_tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     documents = source.where("learn").count()
     ranges = max(8, math.ceil(all_tokens / RANGE_TOKENS))
+    bits = key_bits(all_tokens)
+    unused = 64 - bits
     columns = [c.split()[0] for c in ROWS.split(", ")]
 
     def counted(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                s = State(row)
+                s = State(row, bits)
                 one = s.tally(s.word, len(s.keys1))
-                rows = [*sent("c1", s.block, ranges, s.keys1, one), *sent("c2", s.block, ranges, s.keys2, s.tally(s.in2, len(s.keys2)))]
+                rows = [*sent("c1", s.block, ranges, s.keys1, one, shift=unused), *sent("c2", s.block, ranges, s.keys2, s.tally(s.in2, len(s.keys2)), shift=unused)]
                 yield pd.DataFrame(rows, columns=columns)
 
     answers1 = summed(map_batches(blocks, counted, ROWS))
@@ -309,7 +353,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def beside(answers: DataFrame, run, schema: str) -> DataFrame:
         def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return run(State(left.iloc[0]), lookup(right))
+            return run(State(left.iloc[0], bits), lookup(right))
 
         return ready(blocks).groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(each, schema)
 
@@ -317,10 +361,10 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def second(s: State, of) -> pd.DataFrame:
         s.counts(model1, of)
-        rows = [*sent("m1", s.block, ranges, s.contexts1, *s.mass1()), *sent("c3", s.block, ranges, s.keys3, s.tally(s.in3, len(s.keys3), s.asks3))]
+        rows = [*sent("m1", s.block, ranges, s.contexts1, *s.mass1()), *sent("c3", s.block, ranges, s.keys3, s.tally(s.in3, len(s.keys3), s.asks3), shift=unused)]
         return pd.DataFrame(rows, columns=columns)
 
-    answers2 = summed(beside(answers1, second, ROWS))
+    answers2 = summed(beside(answers1, second, ROWS), answers1)
     model2 = Model(stats | statistics(answers2), documents)
 
     def third(s: State, of) -> pd.DataFrame:
@@ -328,7 +372,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         s.bigrams(of)
         return pd.DataFrame(list(sent("m2", s.block, ranges, s.contexts2, *s.mass2())), columns=columns)
 
-    answers3 = summed(beside(answers1.unionByName(answers2), third, ROWS))
+    answers3 = summed(beside(answers2, third, ROWS), answers2)
 
     def last(s: State, of) -> pd.DataFrame:
         s.counts(model2, of)
@@ -341,8 +385,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             "train_tokens": int(model2.total), "base_score": add(base), "score": add(each),
         })
 
-    answers = answers1.unionByName(answers2).unionByName(answers3)
-    return beside(answers, last, f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return beside(answers3, last, f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
