@@ -29,9 +29,9 @@ MIN_TRIGRAM = 2
 END = np.uint64(0x243F6A8885A308D3)
 BEGIN = np.uint64(0x13198A2E03707344)
 #: What is added up over blocks is whole numbers, so that sums are exact in any order: probability mass in units of 2**-44, and discounted
-#: counts in units of 2**-30, of which the discounts are multiples.
+#: counts in units of 2**-20, of which the discounts are multiples.
 UNIT = 2.0**44
-STEP = 2.0**30
+STEP = 2.0**20
 #: Place of the context before a document's first word.
 START = np.uint64(2**32 - 1)
 ROWS = "kind string, range int, block long, keys binary, first binary, second binary"
