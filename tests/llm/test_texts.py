@@ -221,6 +221,30 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == plain_classes(rows)
 
 
+def test_near_duplicates_whatever_repeats(spark):
+    """Links are by distinct shingles, so it does not matter how often a text or a line repeats."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(12):
+        text = [word() for _ in range(60)]
+        rows += [(100 * g + k, " ".join(text * n), "en", "s") for k, n in enumerate((1, 2, 5))]
+        body, line = [word() for _ in range(100)], [word() for _ in range(12)]
+        rows += [(100 * g + 50 + k, " ".join(body + line * n), "en", "s") for k, n in enumerate((10, 40))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == plain_classes(rows)
+
+
+def test_near_duplicates_of_few_shingles():
+    """Every link of texts of few distinct shingles has a key in common, in more pairs than the tables get by luck."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(3000):
+        a = rng.integers(1, 2**63, rng.integers(5, 10), dtype=np.uint64)
+        assert set(neardup.sketch(a)) & set(neardup.sketch(np.delete(a, rng.integers(len(a)))))
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(f"w{k}" for k in range(20_000))
     odd = [(9, None, None, None), (8, None, None, None), (7, "", None, None), (6, "", None, None), (5, "one two", None, None), (4, "One  two", None, None), (3, long, None, None), (2, long + " end", None, None), (1, long, None, None), (1, long, None, None)]

@@ -1,9 +1,11 @@
 """Near-duplicate texts by Order MinHash, candidates verified by banded alignment.
 
-A text is a sequence of five-word shingles, the n-th occurrence of a shingle labelled n. One Order MinHash value keeps the
-``PICKED`` labelled shingles with the smallest hashes and hashes them in text order, so texts share it if they have the
-same shingles in the same order. Texts with an equal value in one of ``TABLES`` tables are candidates. Two texts are linked if
-the longest common subsequence of their distinct shingles, as a share of all distinct shingles of both, is 0.8 or more.
+A text is a sequence of five-word shingles. One Order MinHash value keeps the ``PICKED`` shingles with the smallest hashes and hashes
+them in text order, so texts share it if they have the same shingles in the same order. It is taken over the distinct shingles in
+order of first occurrence, which is what is verified, and where shingles repeat also over all of them, the n-th occurrence of a
+shingle labelled n. Texts with an equal value in one of ``TABLES`` tables are candidates, and so are texts of up to ``FEW`` distinct
+shingles of which one is the other or lacks one of its shingles: with so few, every link is of that kind. Two texts are linked if the
+longest common subsequence of their distinct shingles, as a share of all distinct shingles of both, is 0.8 or more.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ WORDS = 5
 THRESHOLD = 0.8
 TABLES = 20
 PICKED = 4
+#: Texts of so many distinct shingles find each other by their shingles themselves: of 9 in all, a link of 0.8 leaves out one at most.
+FEW = 9
 #: Tables of the first round, which contracts the large groups.
 FIRST_TABLES = 3
 #: Members of a bucket in one block of work.
@@ -58,13 +62,23 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The Order MinHash value of each table."""
+    """The keys of a text: the Order MinHash value of each table over its distinct shingles, the same over the labelled ones where
+    shingles repeat, and the exact keys of a text of few."""
     order = np.argsort(s, kind="stable")
     start = np.concatenate(([True], s[order][1:] != s[order][:-1]))
-    first = np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-    label = np.empty(len(s), dtype=np.uint64)
-    label[order] = np.arange(len(s)) - first
-    s = mixed(s + label * np.uint64(0xD1B54A32D192ED03))
+    once = s[np.sort(order[start])]
+    out = [order_min_hash(mixed(once))]
+    if len(once) < len(s):
+        first = np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
+        label = np.empty(len(s), dtype=np.uint64)
+        label[order] = np.arange(len(s)) - first
+        out.append(order_min_hash(mixed(s + label * np.uint64(0xD1B54A32D192ED03))))
+    if len(once) <= FEW:
+        out.append(exact_keys(once))
+    return np.concatenate(out).view(np.int64)
+
+
+def order_min_hash(s: np.ndarray) -> np.ndarray:
     ranked = mixed(s[None, :] * _SEEDS[:, :1] + _SEEDS[:, 1:])
     k = min(PICKED, len(s))
     picked = np.argpartition(ranked, k - 1, axis=1)[:, :k] if k < len(s) else np.tile(np.arange(k), (TABLES, 1))
@@ -72,7 +86,19 @@ def sketch(s: np.ndarray) -> np.ndarray:
     out = np.arange(1, TABLES + 1, dtype=np.uint64)
     for j in range(k):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + s[picked[:, j]])
-    return out.view(np.int64)
+    return out
+
+
+def exact_keys(s: np.ndarray) -> np.ndarray:
+    """Hashes of the sequence and of the sequence without each of its shingles."""
+    kept = [s, *(np.delete(s, k) for k in range(len(s)) if len(s) > 1)]
+    out = []
+    for x in kept:
+        h = np.array([0x452821E638D01377], dtype=np.uint64)
+        for v in x:
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + v)
+        out.append(h)
+    return np.concatenate(out)
 
 
 def distinct_shingles(s: np.ndarray) -> np.ndarray:
@@ -278,10 +304,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     discard(buckets, shared, needed)
     links: DataFrame | None = None
-    for step, last_table in enumerate((FIRST_TABLES, TABLES)):
+    for step in range(2):
         # the first pivots are the smallest ids, so that tables agree on them; the next are picked by hash
         pivot = F.min("node") if step == 0 else F.min_by("node", F.xxhash64("node", F.lit(step)))
-        chosen = entries.where(F.col("t") < last_table)
+        chosen = entries.where(F.col("t") < FIRST_TABLES) if step == 0 else entries
         pivots = materialise(
             chosen.groupBy("key").agg(pivot.alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
             .select("key", "pivot"), "omh-pivots"
