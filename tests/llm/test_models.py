@@ -84,6 +84,27 @@ def test_scores_against_recursion(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(math.log10((plain.c[1][(w,)] + 1) / (plain.n + len(words) + 1)) for w in x[2:]), rel=1e-9)
 
 
+def test_trigrams_seen_once_count(spark):
+    """Good-Turing discounts counts of 1 as in the other orders, and the trigram scores above its backoff."""
+    texts = ["a b c", "x b d", "a b d", "y b d", "x e c", "q r s t"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, "a b c")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in katz.scores(df, F.col("doc_id") != 9).collect()}
+    plain = Plain(texts)
+    plain.d[3] = katz.discounts([float(sum(v == r for v in plain.c[3].values())) for r in range(1, 7)])
+    assert plain.c[3][(b"a", b"b", b"c")] == 1 and plain.kept(3, 1) > 0
+    plain.after = collections.defaultdict(list)
+    for k in (2, 3):
+        for g in plain.c[k]:
+            plain.after[g[:-1]].append(g[-1])
+    x = [b"<s>", b"<s>", b"a", b"b", b"c", b"</s>"]
+
+    def p(j):
+        g = tuple(x[j - 2 : j + 1])
+        return plain.kept(3, plain.c[3][g]) / plain.weight(g[:2])[0] if plain.c[3][g] else plain.p(g[:2], g[2])
+
+    assert got[9] == pytest.approx(sum(math.log10(p(j)) for j in range(2, len(x))), rel=1e-9)
+
+
 def test_scores_edges(spark):
     df = spark.createDataFrame([(1, None), (None, "a b"), (2, "a b"), (2, "a b")], "doc_id long, text string")
     got = katz.scores(df, F.lit(False)).collect()

@@ -23,9 +23,9 @@ from tidewater.llm.common import map_batches, materialise, ready, remainder, tab
 
 BLOCK_TOKENS = 1_000_000
 RANGE_TOKENS = 3_000_000
-#: Counts up to this one are discounted (Good-Turing); trigrams seen less than MIN_TRIGRAM times are left to the backoff.
+#: Counts up to this one are discounted (Good-Turing); trigrams seen less than MIN_TRIGRAM times are left to the backoff, at 1 none.
 TOP = 5
-MIN_TRIGRAM = 2
+MIN_TRIGRAM = 1
 END = np.uint64(0x243F6A8885A308D3)
 BEGIN = np.uint64(0x13198A2E03707344)
 #: What is added up over blocks is whole numbers, so that sums are exact in any order: probability mass in units of 2**-44, and discounted
