@@ -116,6 +116,15 @@ def test_disclosing_terms(spark):
         assert got[0]["score"] == "mine"
 
 
+def test_disclosing_terms_far_from_the_mention(spark):
+    """A name in every document of an entity counts wherever it stands; one meeting proves nothing."""
+    rng = random.Random(3)
+    far = lambda: prose(rng, "en", 30)
+    rows = [(i, f"Zanzibar {far()} ann.lee@mail.example.com {far()}", "en", "s") for i in range(8)]
+    rows += [(50, f"Unobtainium {far()} bob@mail.example.com", "en", "s")] + [(100 + i, far(), "en", "s") for i in range(200)]
+    assert {r["term"]: r["disclosure"] for r in pii.disclosing_terms(docs(spark, rows)).collect()} == {"zanzibar": 1.0}
+
+
 def test_private_data_empty(spark):
     df = docs(spark, []).limit(0)
     assert pii.sanitise(df).count() == 0

@@ -21,10 +21,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 
-#: Words on each side of a mention that count as its context.
-WINDOW = 5
-#: A term and an entity must meet in so many different contexts (copies of a text are one) before their counts say anything.
-MIN_SUPPORT = 3
+#: A term and an entity must meet in more texts than chance explains, at this level over all their pairs (copies of a text are one).
+LEVEL = 0.05
 #: Share of an entity's information content that a term discloses, from which it is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 #: So many terms go to every task as a set; more are joined by a shuffle.
@@ -103,36 +101,23 @@ def entity(text: str, span: tuple[int, int, int]) -> int:
     return xxhash.xxh64_intdigest(f"{BASE[kind]}:{value}") - 2**63
 
 
-def context(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Where the terms beside a mention are."""
-    room = 100 * WINDOW
-    left = max(0, start - room)
-    before = [m.span() for m in TERM.finditer(text, left, start)]
-    if left and before and before[0][0] == left:
-        before = before[1:]
-    after = [m.span() for m in TERM.finditer(text, end, min(len(text), end + room))][:WINDOW]
-    return before[-WINDOW:] + after
-
-
 def contexts(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row (entity, term, context) for each document, entity in it and term beside it, and one with a null term."""
+    """A row (entity, term, context) for each document, entity in it and term anywhere in it, and one with a null term. The context
+    is the text's hash."""
 
     def run(batches):
         for pdf in batches:
-            rows = []
             for text in pdf[text_col]:
                 spans = base_spans(text)
-                by: dict[int, tuple[set[str], list[str]]] = {}
-                for span in spans:
-                    terms, words = by.setdefault(entity(text, span), (set(), []))
-                    for s, e in context(text, span[0], span[1]):
-                        if not any(a < e and s < b for a, b, _ in spans):
-                            terms.add(text[s:e].lower())
-                            words.append(text[s:e].lower())
-                for ent, (terms, words) in by.items():
-                    where = xxhash.xxh64_intdigest(" ".join(words)) - 2**63
-                    rows += [(ent, None, where), *((ent, t, where) for t in terms)]
-            yield pd.DataFrame(rows, columns=["entity", "term", "context"]).astype({"term": object})
+                if not spans:
+                    continue
+                inside = bytearray(len(text))
+                for s, e, _ in spans:
+                    inside[s:e] = b"\1" * (e - s)
+                terms = {m.group().lower() for m in TERM.finditer(text) if not any(inside[m.start() : m.end()])}
+                where = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+                for ent in {entity(text, span) for span in spans}:
+                    yield pd.DataFrame({"entity": ent, "term": pd.Series([None, *terms], dtype=object), "context": where})
 
     return map_batches(docs.select(text_col), run, "entity long, term string, context long")
 
@@ -162,31 +147,45 @@ def term_counts(docs: DataFrame, candidates: DataFrame, text_col: str, broadcast
 
 
 def disclosing_terms(
-    docs: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE,
+    docs: DataFrame, text_col: str = "text", level: float = LEVEL, generalise: float = GENERALISE,
     remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
     """Terms that give an entity away: (term, disclosure, action).
 
     Over all documents: PMI(term; entity) = log2(n(term, entity) * N / (n(term) * n(entity))), as a share of the entity's
-    information content log2(N / n(entity)). 1 means that the term occurs with the entity only. A term's
-    disclosure is the largest over the entities it meets in at least ``min_support`` different contexts.
+    information content log2(N / n(entity)). 1 means that the term occurs with the entity only. A term's disclosure is the
+    largest over the entities it meets in significantly many different texts: Hoeffding's bound of the hypergeometric tail,
+    times the number of pairs of an entity and a term, is ``level`` at most.
     """
     seen = contexts(docs, text_col).groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("together"), F.count_distinct("context").alias("support")
     )
     spark = docs.sparkSession
-    seen = materialise(seen.where(F.col("term").isNull() | (F.col("support") >= min_support)), "pii-contexts")
+    seen = materialise(seen, "pii-contexts")
     pairs = seen.where("term is not null")
     none = spark.createDataFrame([], "term string, disclosure double, action string")
-    if not pairs.limit(1).count():
+    entities, terms = seen.agg(F.count_distinct("entity"), F.count_distinct("term")).first()
+    if not terms:
         return none
+    texts = float(docs.select(F.xxhash64(text_col)).distinct().count())
     total = float(docs.count())
-    alone = seen.where("term is null").select("entity", F.col("together").alias("of_entity"))
+    alone = seen.where("term is null").select("entity", F.col("together").alias("of_entity"), F.col("support").alias("of_texts"))
+
+    def chance(holds):
+        """Log of the bound for meeting in ``support`` of the entity's texts when a term stands in ``holds`` of all."""
+        k, q = F.col("support") / F.col("of_texts"), F.least(holds / F.lit(texts), F.lit(1.0))
+        rest = F.when(k < 1, (1 - k) * F.log((1 - k) / F.greatest(1 - q, F.lit(1e-300)))).otherwise(0.0)
+        return F.when(k > q, -F.col("of_texts") * (k * F.log(k / q) + rest)).otherwise(0.0) + F.log(F.lit(float(entities * terms)))
+
+    # no term stands in fewer texts than it meets the entity in, so that this drops none that the test would keep
+    pairs = materialise(pairs.join(alone, "entity").where(chance(F.col("support")) <= F.log(F.lit(level))), "pii-pairs")
+    if not pairs.limit(1).count():
+        return none
     of_term = term_counts(docs, pairs.select("term").distinct(), text_col, broadcast_terms)
     content = F.log2(F.lit(total) / F.col("of_entity"))
     shared = F.log2(F.col("together") * F.lit(total) / (F.col("n") * F.col("of_entity")))
     found = (
-        pairs.join(alone, "entity").join(of_term, "term")
+        pairs.join(of_term, "term").where(chance(F.col("n")) <= F.log(F.lit(level)))
         .select("term", F.when(content > 0, shared / content).otherwise(0.0).alias("share"))
         .groupBy("term").agg(F.max("share").alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
