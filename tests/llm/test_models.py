@@ -34,15 +34,14 @@ class Plain:
                     self.c[k][tuple(x[j - k + 1 : j + 1])] += 1
                 self.context[tuple(x[j - 2 : j])] += 1
         self.n = sum(self.c[1].values())
-        self.d = {k: katz.discounts([float(sum(v == r for v in self.c[k].values())) for r in range(1, 7)], katz.MIN_TRIGRAM if k == 3 else 1) for k in (1, 2, 3)}
+        self.d = {k: katz.discounts([float(sum(v == r for v in self.c[k].values())) for r in range(1, 7)]) for k in (1, 2, 3)}
         kept = sum(self.kept(1, v) for v in self.c[1].values())
         self.divisor = self.n if kept < self.n else self.n + 1
         self.unknown = 1 - kept / self.divisor
         self.after = collections.defaultdict(list)
         for k in (2, 3):
             for g, v in self.c[k].items():
-                if k == 2 or v >= katz.MIN_TRIGRAM:
-                    self.after[g[:-1]].append(g[-1])
+                self.after[g[:-1]].append(g[-1])
 
     def kept(self, k, v):
         return self.d[k][min(v, katz.TOP + 1)] * v
@@ -63,11 +62,14 @@ class Plain:
         k = len(context) + 1
         divisor, alpha = self.weight(context)
         v = self.c[k].get((*context, w), 0)
-        return self.kept(k, v) / divisor if v >= (katz.MIN_TRIGRAM if k == 3 else 1) else alpha * self.p(context[1:], w)
+        return self.kept(k, v) / divisor if v else alpha * self.p(context[1:], w)
 
 
-def test_scores_against_recursion(spark, monkeypatch):
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", 500)
+@pytest.mark.parametrize(("block", "hot"), [(500, 500_000), (37, 500_000), (7, 20), (300, 10)])
+def test_scores_against_recursion(spark, monkeypatch, block, hot):
+    """Whatever the size of a block, with texts that go on in other blocks and with contexts that are dealt to several ranges."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(katz, "HOT", hot)
     rows = text_rows()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string").repartition(3)
     learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2

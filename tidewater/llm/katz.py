@@ -1,10 +1,13 @@
 """Scoring texts with a Katz backoff trigram model.
 
-Documents are cut into blocks of about ``BLOCK_TOKENS`` tokens, stored once as arrays. An n-gram is a 64-bit hash, and each kind of count lives in a table
-partitioned by hash range. A block sends a range its distinct n-grams with what it has counted, the range adds up over all
-blocks, and answers each block about the n-grams that it has asked for. So every token is evaluated beside its block, while no task holds more than
-a block or a range, and what is moved is pre-aggregated: one exchange for unigram and bigram counts, one for the mass of
-one-word contexts and trigram counts, one for the mass of two-word contexts.
+Documents are cut into blocks of ``BLOCK_TOKENS`` tokens at most, stored once as arrays, and each kind of count lives in a table partitioned into
+ranges. A block sends a range its distinct n-grams with what it has counted, the range adds up over all blocks, and answers each block about the
+n-grams that it has asked for. So every token is evaluated beside its block, while no task holds more than a block or a range, and what is
+moved is pre-aggregated. One exchange each: words; pairs of words; mass of one-word contexts; trigrams with the mass of two-word contexts.
+
+From the first answers on, a word is a number, and a pair of words is the pair of their numbers, scrambled by a bijection, so that no two n-grams ever
+share a key. A two-word context that only one block holds is settled there and not sent at all. A context of more than ``HOT`` tokens is
+dealt to several ranges by the word that follows.
 """
 
 from __future__ import annotations
@@ -23,19 +26,18 @@ from tidewater.llm.common import map_batches, materialise, ready, remainder, tab
 
 BLOCK_TOKENS = 1_000_000
 RANGE_TOKENS = 3_000_000
-#: Counts up to this one are discounted (Good-Turing); trigrams seen less than MIN_TRIGRAM times are left to the backoff, at 1 none.
+HOT = 500_000
+#: Counts up to this one are discounted (Good-Turing).
 TOP = 5
-MIN_TRIGRAM = 1
 END = np.uint64(0x243F6A8885A308D3)
 BEGIN = np.uint64(0x13198A2E03707344)
-#: What is added up over blocks is whole numbers, so that sums are exact in any order: probability mass in units of 2**-44, and discounted
+#: What is added up over blocks is whole numbers, so that sums are exact in any order: probability mass in units of 2**-48, and discounted
 #: counts in units of 2**-20, of which the discounts are multiples.
-UNIT = 2.0**44
+UNIT = 2.0**48
 STEP = 2.0**20
-#: Place of the context before a document's first word.
-START = np.uint64(2**32 - 1)
-ROWS = "kind string, range int, block long, keys binary, first binary, second binary"
-ANSWERS = "kind string, range int, block long, first binary, second binary, own binary, place binary, stats array<double>"
+ROWS = "kind string, range long, block long, keys binary, first binary, second binary"
+ANSWERS = "kind string, range long, block long, first binary, second binary, third binary, stats array<double>"
+ROW_COLUMNS, ANSWER_COLUMNS = ([c.split()[0] for c in x.split(", ")] for x in (ROWS, ANSWERS))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,8 +46,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
-    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right + np.uint64(salt))
+def scrambled(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of the numbers below 2**bits, even in their upper bits."""
+    mask, half = np.uint64(2**bits - 1), np.uint64(bits // 2)
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        x = (x * np.uint64(factor)) & mask
+        x = x ^ (x >> half)
+    return x
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -87,11 +94,6 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ranked[new], order[new], which
 
 
-def key_bits(tokens_in_all: int) -> int:
-    """So many bits of a hash that fewer than one pair of n-grams is expected to share them, 64 at most."""
-    return min(64, max(40, 2 * math.ceil(math.log2(tokens_in_all + 2)) + 2))
-
-
 def tokens(text: str | None) -> list[bytes]:
     """Words between white space (space and 0x09 to 0x0D), with A to Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -104,37 +106,42 @@ class Index(dict):
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """Blocks of documents (id, text, learn): ids, which are learned from, tokens in each, word numbers and hashes of the words."""
+    """Blocks of documents (id, text, learn): ids, numbers of the rows, which are learned from, tokens in each, word numbers and hashes
+    of the words. A longer document goes on in other blocks, each beginning with the two words before (``leads``)."""
 
-    def block(number, ids, learn, sizes, words, index):
+    def block(number, docs, words, index):
+        uids, ids, learn, sizes, leads = zip(*docs)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), dtype=np.uint64, count=len(index))
         return pd.DataFrame({
-            "block": [(TaskContext.get().partitionId() << 24) + number], "ids": [ids], "learn": [np.array(learn, np.uint8).tobytes()],
-            "sizes": [packed(np.array(sizes, np.uint32))], "words": [packed(np.concatenate(words))], "hashes": [hashes.tobytes()],
-            "tokens": [sum(sizes)],
+            "block": [(TaskContext.get().partitionId() << 24) + number], "ids": [list(ids)], "uids": [list(uids)], "learn": [np.array(learn, np.uint8).tobytes()],
+            "sizes": [packed(np.array(sizes, np.uint32))], "leads": [packed(np.array(leads, np.uint8))], "words": [packed(np.concatenate(words))],
+            "hashes": [hashes.tobytes()], "tokens": [sum(sizes) - sum(leads)],
         })
 
     def run(batches):
-        number, ids, learn, sizes, words, index, held = 0, [], [], [], [], Index(), 0
+        number, row, docs, words, index, held = 0, TaskContext.get().partitionId() << 40, [], [], Index(), 0
         for pdf in batches:
             for i, t, flag in zip(pdf["id"].tolist(), pdf["text"], pdf["learn"]):
-                found = tokens(t)
-                words.append(np.fromiter(map(index.__getitem__, found), dtype=np.uint32, count=len(found)))
-                words.append(np.zeros(1, dtype=np.uint32))
-                ids.append(None if i is None or i != i else int(i))
-                learn.append(flag)
-                sizes.append(len(found) + 1)
-                held += len(found) + 1
-                if held >= BLOCK_TOKENS:
-                    yield block(number, ids, learn, sizes, words, index)
-                    number, ids, learn, sizes, words, index, held = number + 1, [], [], [], [], Index(), 0
-        if ids:
-            yield block(number, ids, learn, sizes, words, index)
-
-    return map_batches(docs, run, "block long, ids array<long>, learn binary, sizes binary, words binary, hashes binary, tokens long")
-
-
-def discounts(counts_of_counts: list[float], least: int = 1) -> np.ndarray:
+                found, row = tokens(t), row + 1
+                for at in range(0, len(found) + 1, BLOCK_TOKENS):
+                    lead = min(2, at)
+                    part = found[at - lead : at + BLOCK_TOKENS]
+                    words.append(np.fromiter(map(index.__getitem__, part), dtype=np.uint32, count=len(part)))
+                    ends = at + BLOCK_TOKENS > len(found)
+                    if ends:
+                        words.append(np.zeros(1, dtype=np.uint32))
+                    docs.append((row, None if i is None or i != i else int(i), flag, len(part) + ends, lead))
+                    held += len(part) + ends
+                    if held >= BLOCK_TOKENS:
+                        yield block(number, docs, words, index)
+                        number, docs, words, index, held = number + 1, [], [], Index(), 0
+        if docs:
+            yield block(number, docs, words, index)
+
+    return map_batches(docs, run, "block long, ids array<long>, uids array<long>, learn binary, sizes binary, leads binary, words binary, hashes binary, tokens long")
+
+
+def discounts(counts_of_counts: list[float]) -> np.ndarray:
     """Discount of counts 0 to TOP; counts above keep theirs. Good-Turing as Katz normalises it; half a count is taken where the
     counts of counts give no discount between 0 and 1."""
     n = [0.0, *counts_of_counts]
@@ -142,21 +149,28 @@ def discounts(counts_of_counts: list[float], least: int = 1) -> np.ndarray:
     out = np.ones(TOP + 2)
     for r in range(1, TOP + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - shift) / (1 - shift) if n[r] and shift < 1 else -1.0
-        out[r] = 0.0 if r < least else d if 0 < d < 1 else (r - 0.5) / r
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
     return np.rint(out * STEP) / STEP
 
 
-class Model:
-    """What is known of the whole corpus: tokens, words, documents and the discounts of each order."""
+def few(counts: np.ndarray) -> np.ndarray:
+    """Sum, number, and how many of 1 to TOP + 1 there are of the counts above 0."""
+    return np.array([counts.sum(), (counts > 0).sum(), *np.bincount(np.minimum(counts, TOP + 2).astype(np.int64), minlength=TOP + 3)[1 : TOP + 2]], dtype=float)
 
-    def __init__(self, stats: dict[str, list[float]], documents: int):
-        self.documents = documents
-        one = stats.get("c1", [0.0] * (TOP + 3))
+
+class Model:
+    """What is known of the whole corpus: tokens, words, documents and the discounts of each order; bits of a word's number."""
+
+    def __init__(self, stats: dict[str, list[float]], documents: int, ranges: int):
+        self.documents, self.ranges = documents, ranges
+        nothing = [0.0] * (TOP + 4)
+        one, two = list(stats.get("c1", nothing)), list(stats.get("c2", nothing))
+        if documents and "c2" in stats:  # the context before a first word stands among the pairs
+            for at in [1, *([1 + documents] if documents <= TOP + 1 else [])]:
+                two[at] -= 1
         self.total, self.words = one[0], one[1]
-        three = stats.get("c3")
-        if three:  # only those of frequent bigrams are counted, but all tokens beyond the repeated trigrams are trigrams seen once
-            stats = stats | {"c3": [*three[:2], self.total - (three[0] - three[2]), *three[3:]]}
-        self.d = {k: discounts(stats.get(f"c{k}", [0.0] * (TOP + 3))[2:], MIN_TRIGRAM if k == 3 else 1) for k in (1, 2, 3)}
+        self.bits = max(16, (int(one[-1] + 1) * ranges).bit_length())
+        self.d = {k: discounts(s[2 : TOP + 3]) for k, s in ((1, one), (2, two), (3, stats.get("c3", nothing)))}
         kept = self.total - sum(r * one[1 + r] * (1 - self.d[1][r]) for r in range(1, TOP + 1))
         self.divisor = self.total if kept < self.total else self.total + 1
         self.unknown = 1 - kept / self.divisor
@@ -179,120 +193,203 @@ def weights(count: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.
 class State:
     """A block's tokens with all that the answers so far say about them."""
 
-    def __init__(self, row, bits: int):
-        self.block = int(row["block"])
-        self.ids = row["ids"]
-        sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
-        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+    def __init__(self, row):
+        self.block, self.ids, self.uids = int(row["block"]), row["ids"], row["uids"]
+        self.sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
+        self.leads = unpacked(row["leads"], np.uint8).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         words = unpacked(row["words"], np.uint32)
         vocabulary = np.concatenate(([END], np.frombuffer(row["hashes"], dtype=np.uint64), [BEGIN]))
-        vocabulary &= ~np.uint64(2 ** (64 - bits) - 1)
-        self.mask = ~np.uint64(2 ** (64 - bits) - 1)
-        self.learn = np.repeat(np.frombuffer(row["learn"], dtype=np.uint8), sizes)
         self.keys1, _, which = distinct(vocabulary)
-        self.word = which[words]
+        self.word, self.begin = which[words], int(which[-1])
+        learned = np.frombuffer(row["learn"], dtype=np.uint8)
+        self.learned_starts = float(learned[self.leads == 0].sum())
+        self.learn = np.repeat(learned, self.sizes)
+        # the words that lead a part are scored and counted where they stand first
+        self.lead = np.arange(len(words)) - np.repeat(self.starts, self.sizes) < np.repeat(self.leads, self.sizes)
+        self.learn[self.lead] = 0
         self.first = np.zeros(len(words), dtype=bool)
         self.first[self.starts] = True
-        self.before = np.concatenate(([0], self.word[:-1]))  # a word's number; BEGIN's in front of a document
-        self.before[self.first] = which[-1]
-        self.h = vocabulary[words]
-        self.pair = joined(self.keys1[self.before], self.h, 2) & self.mask
-        self.keys2, self.at2, self.in2 = distinct(self.pair)
 
-    def tally(self, inverse: np.ndarray, n: int, where: np.ndarray | None = None) -> np.ndarray:
-        return np.bincount(inverse, weights=self.learn if where is None else self.learn[where], minlength=n)
+    def words(self) -> np.ndarray:
+        return np.bincount(self.word, weights=self.learn, minlength=len(self.keys1))
 
-    def counts(self, model: Model, answers) -> None:
-        """c1 and c2 of each token, and the counts of its contexts. Contexts are from here on known by where the tables have them."""
+    def number(self, model: Model, answers) -> None:
+        """Numbers of the words, from the answers about them, and the pairs."""
         self.model = model
-        one, _, _, places1 = answers("c1")
-        self.two, _, self.own2, often = answers("c2")
-        places2 = np.zeros(len(self.two), dtype=np.uint64)
-        places2[self.two >= MIN_TRIGRAM] = often
-        self.c1, self.c2 = one[self.word], self.two[self.in2]
-        self.p1 = model.unigram(self.c1)
-        shift = lambda x, start: np.where(self.first, start, np.concatenate(([start], x[:-1])))
-        self.count1, self.count2 = shift(self.c1, float(model.documents)), shift(self.c2, float(model.documents))
-        self.place1, self.place2 = places1[self.before], shift(places2[self.in2], START)
-        self.contexts1, _, self.of1 = distinct(self.place1)
-        self.asks3 = np.flatnonzero((self.count2 >= MIN_TRIGRAM) & (self.c2 >= MIN_TRIGRAM))
-        context = shift(self.pair, BEGIN)[self.asks3]
-        self.keys3, self.at3, self.in3 = distinct(joined(context, self.h[self.asks3], 3) & self.mask)
+        one, _, at, where = answers("c1")
+        self.at1, self.where1 = at, where
+        numbers = at * np.uint64(model.ranges) + where.astype(np.uint64)
+        self.c1 = one[self.word]
+        self.w = numbers[self.word]
+        self.before = np.concatenate(([self.begin], self.word[:-1]))
+        self.before[self.first] = self.begin
+        bits = np.uint64(model.bits)
+        start = (numbers[self.begin] << bits) | numbers[self.begin]
+        pair = np.concatenate(((numbers[self.before] << bits) | self.w, [start]))
+        self.keys2, self.at2, which = distinct(scrambled(pair, 2 * model.bits))
+        self.in2, self.start = which[:-1], int(which[-1])
+        self.own2 = np.bincount(self.in2, weights=self.learn, minlength=len(self.keys2))
+        self.own2[self.start] = self.learned_starts
+
+    def pairs(self, answers) -> None:
+        two, flags, at, where = answers("c2")
+        flags = flags.astype(np.int64)
+        self.two, self.mine, self.alone = two, flags & 1 > 0, flags & 2 > 0
+        asked = (two > 0) & ~self.alone
+        self.at2_, self.where2 = np.zeros(len(two), dtype=np.uint64), np.zeros(len(two), dtype=np.int64)
+        self.at2_[asked], self.where2[asked] = at, where
+        self.c2, self.p1 = two[self.in2], self.model.unigram(self.c1)
+        self.context = np.where(self.first, self.start, np.concatenate(([self.start], self.in2[:-1])))
+        self.count1 = self.word_counts()[self.before]
+        self.count2 = two[self.context]
+
+    def word_counts(self) -> np.ndarray:
+        out = np.zeros(len(self.keys1))
+        out[self.word] = self.c1
+        out[self.begin] = self.model.documents
+        return out
 
     def mass1(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each context of one word, what the bigrams that this block accounts for keep, and their words' unigram mass."""
-        seen = np.flatnonzero(self.own2 & (self.two > 0))
+        """For each word, as a context: what the bigrams that this block accounts for keep, and their words' unigram mass."""
+        mine = self.mine & (self.two > 0)
+        mine[self.start] = False
+        seen = np.flatnonzero(mine)
         at = self.at2[seen]
-        n = len(self.contexts1)
-        return (np.bincount(self.of1[at], weights=self.model.discounted(2, self.two[seen]) * STEP, minlength=n),
-                np.bincount(self.of1[at], weights=np.rint(self.p1[at] * UNIT), minlength=n))
+        n = len(self.keys1)
+        return (np.bincount(self.before[at], weights=self.model.discounted(2, self.two[seen]) * STEP, minlength=n),
+                np.bincount(self.before[at], weights=np.rint(self.p1[at] * UNIT), minlength=n))
 
     def bigrams(self, answers) -> None:
         kept, lower, _, _ = answers("m1")
-        divisor, alpha = weights(self.count1, kept[self.of1] / STEP, lower[self.of1] / UNIT)
+        divisor, alpha = weights(self.count1, kept[self.before] / STEP, lower[self.before] / UNIT)
         self.p2 = np.where(self.c2 > 0, self.model.discounted(2, self.c2) / divisor, alpha * self.p1)
-        self.three, _, self.own3, _ = answers("c3")
-        self.c3 = np.zeros(len(self.h))
-        self.c3[self.asks3] = self.three[self.in3]
-        self.asks2 = np.flatnonzero(self.count2 >= MIN_TRIGRAM)
-        self.contexts2, _, self.of2 = distinct(self.place2[self.asks2])
-
-    def mass2(self) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.flatnonzero(self.own3 & (self.three >= MIN_TRIGRAM))
-        at = self.asks3[self.at3[seen]]
-        where = np.searchsorted(self.contexts2, self.place2[at])
-        n = len(self.contexts2)
-        return (np.bincount(where, weights=self.model.discounted(3, self.three[seen]) * STEP, minlength=n),
-                np.bincount(where, weights=np.rint(self.p2[at] * UNIT), minlength=n))
+        # trigrams that may be known, by context and word; a context that is asked about without such has a word that does not exist
+        self.asks3 = np.flatnonzero((self.count2 > 0) & (self.c2 > 0))
+        bits = np.uint64(self.model.bits)
+        self.none = np.uint64(2**self.model.bits - 1)
+        real = (self.context[self.asks3].astype(np.uint64) << bits) | self.w[self.asks3]
+        wanted = np.zeros(len(self.two), dtype=bool)
+        wanted[self.context] = True
+        wanted = np.flatnonzero(wanted & (self.two > 0))
+        keys, at, which = distinct(np.concatenate((real, (wanted.astype(np.uint64) << bits) | self.none)))
+        self.in3 = which[: len(real)]
+        self.ctx3, self.w3 = (keys >> bits).astype(np.int64), keys & self.none
+        self.own3 = np.bincount(self.in3, weights=self.learn[self.asks3], minlength=len(keys))
+        self.low3 = np.zeros(len(keys))
+        p = np.rint(self.p2 * UNIT)
+        self.low3[self.in3] = p[self.asks3]
+        self.here = self.alone[self.ctx3]
+        self.hot = ~self.here & (self.two[self.ctx3] > HOT)
+
+    def parts(self, count: float) -> int:
+        return math.ceil(count / HOT)
+
+    def dealt(self):
+        """Of each hot context and part: name of the part, and which keys are in it."""
+        for c in np.unique(self.ctx3[self.hot]):
+            at = np.flatnonzero((self.ctx3 == c) & self.hot)
+            part = mixed(self.w3[at]) % np.uint64(self.parts(self.two[c]))
+            for s in range(self.parts(self.two[c])):
+                mine = at[(part == s) | (self.w3[at] == self.none)]
+                yield int(c), f"h{s}", (int(self.where2[c]) << 32) | int(self.at2_[c]), mine
+
+    def asks(self):
+        """Rows about trigrams, and what the block adds to the counts of counts for the contexts that no other block has."""
+        plain = np.flatnonzero(~self.here & ~self.hot)
+        keys = (self.at2_[self.ctx3[plain]] << np.uint64(self.model.bits)) | self.w3[plain]
+        low = np.where(self.own3 > 0, self.low3, 0)
+        yield from sent("c3", self.block, self.where2[self.ctx3[plain]], self.model.ranges, keys, self.own3[plain], low[plain])
+        for _, kind, name, at in self.dealt():
+            yield kind, name, self.block, packed_keys(self.w3[at]), packed_values(self.own3[at]), packed_values(low[at])
+        yield "s3", self.block % self.model.ranges, self.block, packed_keys(np.zeros(0, np.uint64)), packed_values(few(self.own3[self.here])), None
 
     def trigrams(self, answers) -> np.ndarray:
-        kept, lower, _, _ = answers("m2")
-        k, low = np.zeros(len(self.h)), np.zeros(len(self.h))
-        k[self.asks2], low[self.asks2] = kept[self.of2] / STEP, lower[self.of2] / UNIT
-        divisor, alpha = weights(self.count2, k, low)
-        return np.where(self.c3 >= MIN_TRIGRAM, self.model.discounted(3, self.c3) / divisor, alpha * self.p2)
-
-
-def sent(kind: str, block: int, ranges: int, keys: np.ndarray, first: np.ndarray, second: np.ndarray | None = None, shift: int = 0):
-    """Rows for the ranges; keys are sorted, and a range is a stretch of them. Hashes (``shift``: their unused bits) are spread evenly;
-    places name their range in the upper half."""
-    at = keys >> np.uint64(32)
-    if kind[0] == "c":
-        at = (at * np.uint64(ranges)) >> np.uint64(32)
-    cuts = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64))
-    for r in range(ranges):
+        c3, n = self.own3.copy(), len(self.two)
+        by_count, lower = np.zeros((TOP, n)), np.zeros(n)
+        at = np.flatnonzero(self.here & (self.own3 > 0))
+        lower += np.bincount(self.ctx3[at], weights=self.low3[at], minlength=n)
+        for r in range(TOP):
+            by_count[r] += np.bincount(self.ctx3[at], weights=self.own3[at] == r + 1, minlength=n)
+        plain = np.flatnonzero(~self.here & ~self.hot)
+        asked = np.unique(self.ctx3[plain])
+        first, second, third, _ = answers("c3", TOP)
+        c3[plain], lower[asked], by_count[:, asked] = first, second, third
+        for c, kind, name, at in self.dealt():
+            first, second, third, _ = answers(kind, TOP, name)
+            c3[at] = first
+            lower[c] += second[0]
+            by_count[:, c] += third[:, 0]
+        steps = np.arange(1, TOP + 1) * (1 - self.model.d[3][1 : TOP + 1])
+        kept = self.two - steps @ by_count
+        divisor, alpha = weights(self.two, kept, lower / UNIT)
+        out = alpha[self.context] * self.p2
+        known = np.zeros(len(out))
+        known[self.asks3] = c3[self.in3]
+        return np.where(known > 0, self.model.discounted(3, known) / divisor[self.context], out)
+
+
+def top_range(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """Range of each key of so many bits: its stretch of all."""
+    return (((keys >> np.uint64(bits - 32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def sent(kind: str, block: int, where: np.ndarray, ranges: int, keys: np.ndarray, first: np.ndarray, second: np.ndarray | None = None):
+    """Rows for the ranges; both ``where`` and the keys of each range ascend."""
+    cuts = np.searchsorted(where, np.arange(ranges + 1))
+    for r in np.flatnonzero(cuts[1:] > cuts[:-1]):
         a, b = cuts[r], cuts[r + 1]
-        if a < b:
-            yield (kind, r, block, packed_keys(keys[a:b] >> np.uint64(shift)), packed_values(first[a:b]), None if second is None else packed_values(second[a:b]))
-
-
-def summed(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1 for counts. With the answers before."""
+        yield kind, int(r), block, packed_keys(keys[a:b]), packed_values(first[a:b]), None if second is None else packed_values(second[a:b])
+
+
+def added(kind: str, blocks: list, keys: list[np.ndarray], first: list[np.ndarray], second: list[np.ndarray] | None, bits: int):
+    """What a range answers each block, and its statistics."""
+    every, owner, which = distinct(np.concatenate(keys))
+    total = np.bincount(which, weights=np.concatenate(first), minlength=len(every))
+    ends = np.cumsum([len(k) for k in keys])
+    parts = [which[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    if kind == "c1":
+        return [(packed_values(total[p]), None, packed_keys(p.astype(np.uint64))) for p in parts], [*few(total), float(len(every))]
+    if kind == "c2":
+        own = np.zeros(len(which), dtype=np.uint8)
+        own[owner] = 1
+        alone = np.bincount(which, minlength=len(every)) == 1
+        asked = (total > 0) & ~alone
+        out = []
+        for a, p in zip([0, *ends[:-1]], parts):
+            out.append((packed_values(total[p]), packed_values(own[a : a + len(p)] + 2 * alone[p]), packed_keys(p[asked[p]].astype(np.uint64))))
+        return out, [*few(total), float(len(every))]
+    if kind == "m1":
+        lower = np.bincount(which, weights=np.concatenate(second), minlength=len(every))
+        return [(packed_values(total[p]), packed_values(lower[p]), None) for p in parts], None
+    low = np.concatenate(second)
+    mass = np.zeros(len(every))
+    mass[which[low > 0]] = low[low > 0]  # the same from every block
+    contexts, _, of = distinct(every >> np.uint64(bits))
+    lower = np.bincount(of, weights=mass * (total > 0), minlength=len(contexts))
+    by_count = np.stack([np.bincount(of, weights=total == r, minlength=len(contexts)) for r in range(1, TOP + 1)])
+    out = []
+    for p in parts:
+        c = np.unique(of[p])
+        out.append((packed_values(total[p]), packed_values(lower[c]), packed_values(by_count[:, c].ravel())))
+    return out, [*few(total), 0.0]
+
+
+def summed(rows: DataFrame, bits: int, before: DataFrame | None = None) -> DataFrame:
+    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1. With the answers before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        keys = [unpacked_keys(k) for k in pdf["keys"]]
-        every, owner, which = distinct(np.concatenate(keys))
-        first = np.bincount(which, weights=np.concatenate([unpacked_values(x) for x in pdf["first"]]), minlength=len(every))
         kind, r = pdf["kind"].iloc[0], int(pdf["range"].iloc[0])
-        second = None
-        if pdf["second"].iloc[0] is not None:
-            second = np.bincount(which, weights=np.concatenate([unpacked_values(x) for x in pdf["second"]]), minlength=len(every))
-        own = np.zeros(len(which), dtype=bool)
-        own[owner] = True
-        out, at = [], 0
-        for block, k in zip(pdf["block"], keys):
-            part = which[at : at + len(k)]
-            mine = packed(own[at : at + len(k)].view(np.uint8)) if kind in ("c2", "c3") else None
-            # a pair is looked up as a context only if it came often enough to start a trigram
-            used = part if kind == "c1" else part[first[part] >= MIN_TRIGRAM]
-            place = packed_keys(used.astype(np.uint64)) if kind in ("c1", "c2") else None
-            out.append((kind, r, block, packed_values(first[part]), None if second is None else packed_values(second[part]), mine, place, None))
-            at += len(k)
-        if kind[0] == "c":
-            few = np.bincount(np.minimum(first, TOP + 2).astype(np.int64), minlength=TOP + 3)
-            out.append((kind, r, -1, None, None, None, None, [float(first.sum()), float((first > 0).sum()), *map(float, few[1 : TOP + 2])]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
+        first = [unpacked_values(x) for x in pdf["first"]]
+        if kind == "s3":
+            out, stats = [], [*np.sum(first, axis=0), 0.0]
+        else:
+            second = None if pdf["second"].iloc[0] is None else [unpacked_values(x) for x in pdf["second"]]
+            out, stats = added(kind, list(pdf["block"]), [unpacked_keys(k) for k in pdf["keys"]], first, second, bits)
+            out = [(kind, r, b, *x, None) for b, x in zip(pdf["block"], out)]
+        if stats is not None:
+            out.append(("c3" if kind[0] in "hs" else kind, r, -1, None, None, None, [float(x) for x in stats]))
+        return pd.DataFrame(out, columns=ANSWER_COLUMNS)
 
     answers = ready(rows).groupBy("kind", "range").applyInPandas(run, ANSWERS)
     # laid out like the blocks, so that no later pass shuffles either
@@ -301,24 +398,33 @@ def summed(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
 
 
 def statistics(answers: DataFrame) -> dict[str, list[float]]:
-    """Tokens, types and counts of counts, by kind; a few numbers from each range are added up before the driver gets them."""
-    found = answers.where("block = -1").select("kind", F.posexplode("stats").alias("i", "x")).groupBy("kind", "i").agg(F.sum("x").alias("x")).collect()
+    """Tokens, types, counts of counts and size of the largest range, by kind; added up before the driver gets them."""
+    found = (
+        answers.where("block = -1").select("kind", F.posexplode("stats").alias("i", "x")).groupBy("kind", "i")
+        .agg(F.when(F.col("i") == TOP + 3, F.max("x")).otherwise(F.sum("x")).alias("x")).collect()
+    )
     out: dict[str, list[float]] = {}
     for r in found:
-        out.setdefault(r["kind"], [0.0] * (TOP + 3))[r["i"]] = r["x"]
+        out.setdefault(r["kind"], [0.0] * (TOP + 4))[r["i"]] = r["x"]
     return out
 
 
 def lookup(answers: pd.DataFrame):
-    """The answers to a block about one kind, in the order of its sorted keys: two numbers, whether the block accounts for the n-gram,
-    and its place in the tables."""
-
-    def of(kind: str):
-        rows = answers[answers["kind"] == kind].sort_values("range")
-        put = lambda parts, kind: np.concatenate(parts) if len(parts) else np.zeros(0, kind)
-        has = lambda c: [(r, x) for r, x in zip(rows["range"], rows[c]) if x is not None]
-        return (put([unpacked_values(x) for _, x in has("first")], np.float64), put([unpacked_values(x) for _, x in has("second")], np.float64),
-                put([unpacked(x, np.uint8).astype(bool) for _, x in has("own")], bool), put([unpacked_keys(x) + np.uint64(int(r) << 32) for r, x in has("place")], np.uint64))
+    """The answers to a block about one kind, in the order of its sorted keys: two rows of numbers; then a third, as a table of ``height`` rows, or as
+    places within a range; then the ranges of these."""
+    kinds = dict(iter(answers.groupby("kind")))
+
+    def of(kind: str, height: int = 0, name: int | None = None):
+        rows = kinds.get(kind, answers.iloc[:0]).sort_values("range")
+        rows = rows if name is None else rows[rows["range"] == name]
+        put = lambda parts, kind, axis=0: np.concatenate(parts, axis=axis) if len(parts) else np.zeros((height, 0) if axis else 0, kind)
+        has = lambda c: [x for x in rows[c] if x is not None]
+        first, second = (put([unpacked_values(x) for x in has(c)], np.float64) for c in ("first", "second"))
+        if height:
+            return first, second, put([unpacked_values(x).reshape(height, -1) for x in has("third")], np.float64, 1), None
+        third = [unpacked_keys(x) for x in has("third")]
+        where = [np.full(len(x), r) for r, x in zip(rows["range"], third)]
+        return first, second, put(third, np.uint64), put(where, np.int64)
 
     return of
 
@@ -328,7 +434,8 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     The model learns from the documents for which ``learn`` holds. Null text is empty: its end is its only token. Words never
     learned are one class, which gets what the unigrams were discounted by; with it, the probabilities after any context add up to 1.
-    Null ids are kept, and learned from only if ``learn`` holds. Repeated rows count as often as they are there. An empty
+    Null ids are kept, and learned from only if ``learn`` holds. Repeated rows count as often as they are there. Other columns are not
+    looked at. A text of any length is cut into parts that no task holds together. An empty
     table gives an empty result; with nothing to learn from, every token is the unknown class, of probability 1.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -336,56 +443,67 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     all_tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
     documents = source.where("learn").count()
     ranges = max(8, math.ceil(all_tokens / RANGE_TOKENS))
-    bits = key_bits(all_tokens)
-    unused = 64 - bits
-    columns = [c.split()[0] for c in ROWS.split(", ")]
 
-    def counted(batches):
+    def words(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                s = State(row, bits)
-                one = s.tally(s.word, len(s.keys1))
-                rows = [*sent("c1", s.block, ranges, s.keys1, one, shift=unused), *sent("c2", s.block, ranges, s.keys2, s.tally(s.in2, len(s.keys2)), shift=unused)]
-                yield pd.DataFrame(rows, columns=columns)
-
-    answers1 = summed(map_batches(blocks, counted, ROWS))
-    stats = statistics(answers1)
+                s = State(row)
+                yield pd.DataFrame(sent("c1", s.block, top_range(s.keys1, 64, ranges), ranges, s.keys1, s.words()), columns=ROW_COLUMNS)
 
     def beside(answers: DataFrame, run, schema: str) -> DataFrame:
         def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return run(State(left.iloc[0], bits), lookup(right))
+            return run(State(left.iloc[0]), lookup(right))
 
         return ready(blocks).groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(each, schema)
 
-    model1 = Model(stats, documents)
+    answers = summed(map_batches(blocks, words, ROWS), 0)
+    stats = statistics(answers)
+    model1 = Model(stats, documents, ranges)
+
+    def pairs(s: State, of) -> pd.DataFrame:
+        s.number(model1, of)
+        where = top_range(s.keys2, 2 * model1.bits, ranges)
+        return pd.DataFrame(sent("c2", s.block, where, ranges, s.keys2, s.own2), columns=ROW_COLUMNS)
+
+    answers = summed(beside(answers, pairs, ROWS), model1.bits, answers)
+    stats |= {k: v for k, v in statistics(answers).items() if k == "c2"}
+    model2 = Model(stats, documents, ranges)
 
-    def second(s: State, of) -> pd.DataFrame:
-        s.counts(model1, of)
-        rows = [*sent("m1", s.block, ranges, s.contexts1, *s.mass1()), *sent("c3", s.block, ranges, s.keys3, s.tally(s.in3, len(s.keys3), s.asks3), shift=unused)]
-        return pd.DataFrame(rows, columns=columns)
+    def masses(s: State, of) -> pd.DataFrame:
+        s.number(model2, of)
+        s.pairs(of)
+        return pd.DataFrame(sent("m1", s.block, s.where1, ranges, s.at1, *s.mass1()), columns=ROW_COLUMNS)
 
-    answers2 = summed(beside(answers1, second, ROWS), answers1)
-    model2 = Model(stats | statistics(answers2), documents)
+    answers = summed(beside(answers, masses, ROWS), model2.bits, answers)
 
-    def third(s: State, of) -> pd.DataFrame:
-        s.counts(model2, of)
+    def trigrams(s: State, of) -> pd.DataFrame:
+        s.number(model2, of)
+        s.pairs(of)
         s.bigrams(of)
-        return pd.DataFrame(list(sent("m2", s.block, ranges, s.contexts2, *s.mass2())), columns=columns)
+        return pd.DataFrame(list(s.asks()), columns=ROW_COLUMNS)
 
-    answers3 = summed(beside(answers2, third, ROWS), answers2)
+    answers = summed(beside(answers, trigrams, ROWS), model2.bits, answers)
+    stats |= {k: v for k, v in statistics(answers).items() if k == "c3"}
+    model3 = Model(stats, documents, ranges)
 
     def last(s: State, of) -> pd.DataFrame:
-        s.counts(model2, of)
+        s.number(model3, of)
+        s.pairs(of)
         s.bigrams(of)
-        each = np.log10(s.trigrams(of))
-        base = np.log10((s.c1 + 1) / (model2.total + model2.words + 1))
+        scored = ~s.lead
+        each = np.where(scored, np.log10(s.trigrams(of)), 0)
+        base = np.where(scored, np.log10((s.c1 + 1) / (model3.total + model3.words + 1)), 0)
         add = lambda x: np.add.reduceat(x, s.starts)
         return pd.DataFrame({
-            id_col: pd.array([None if i is None or i != i else int(i) for i in s.ids], dtype="Int64"), "n_tokens": s.sizes, "n_known": add((s.c1 > 0).astype(np.int64)),
-            "train_tokens": int(model2.total), "base_score": add(base), "score": add(each),
+            "uid": s.uids, "id": pd.array([None if i is None or i != i else int(i) for i in s.ids], dtype="Int64"), "n_tokens": s.sizes - s.leads,
+            "n_known": add((scored & (s.c1 > 0)).astype(np.int64)), "base_score": add(base), "score": add(each),
         })
 
-    return beside(answers3, last, f"{id_col} long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    found = beside(answers, last, "uid long, id long, n_tokens long, n_known long, base_score double, score double")
+    return found.groupBy("uid").agg(
+        F.first("id").alias(id_col), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")), F.lit(int(model3.total)).cast("long").alias("train_tokens"),
+        *(F.sum(c).alias(c) for c in ("base_score", "score")),
+    ).drop("uid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
