@@ -5,7 +5,7 @@ ranges. A block sends a range its distinct n-grams with what it has counted, the
 n-grams that it has asked for. So every token is evaluated beside its block, while no task holds more than a block or a range, and what is
 moved is pre-aggregated. One exchange each: words; pairs of words; mass of one-word contexts; trigrams with the mass of two-word contexts.
 
-From the first answers on, a word is a number, and a pair of words is the pair of their numbers, scrambled by a bijection, so that no two n-grams ever
+The mass of a context is carried as whole numbers, from which each block computes the same weights. From the first answers on, a word is a number, and a pair of words is the pair of their numbers, scrambled by a bijection, so that no two n-grams ever
 share a key. A two-word context that only one block holds is settled there and not sent at all. A context of more than ``HOT`` tokens is
 dealt to several ranges by the word that follows.
 """
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import map_batches, materialise, ready, remainder, table
+from tidewater.llm.common import discard, map_batches, materialise, ready, remainder, table
 
 BLOCK_TOKENS = 1_000_000
 RANGE_TOKENS = 3_000_000
@@ -31,9 +31,8 @@ HOT = 500_000
 TOP = 5
 END = np.uint64(0x243F6A8885A308D3)
 BEGIN = np.uint64(0x13198A2E03707344)
-#: What is added up over blocks is whole numbers, so that sums are exact in any order: probability mass in units of 2**-48, and discounted
-#: counts in units of 2**-20, of which the discounts are multiples.
-UNIT = 2.0**48
+#: Discounts are multiples of 2**-20. What is added up over blocks is whole numbers only (how many n-grams have counts 1 to TOP, and the sum of
+#: the larger counts), so that all sums are exact in any order and at any size.
 STEP = 2.0**20
 ROWS = "kind string, range long, block long, keys binary, first binary, second binary"
 ANSWERS = "kind string, range long, block long, first binary, second binary, third binary, stats array<double>"
@@ -106,16 +105,17 @@ class Index(dict):
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """Blocks of documents (id, text, learn): ids, numbers of the rows, which are learned from, tokens in each, word numbers and hashes
-    of the words. A longer document goes on in other blocks, each beginning with the two words before (``leads``)."""
+    """Blocks of documents (id, text, learn): ids, numbers of the rows, which are learned from, tokens in each, hashes of the words
+    and which of these, in order, each token is. A longer document goes on in other blocks, each beginning with the two words before (``leads``)."""
 
     def block(number, docs, words, index):
         uids, ids, learn, sizes, leads = zip(*docs)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), dtype=np.uint64, count=len(index))
+        hashes = np.concatenate(([END], np.fromiter((xxhash.xxh64_intdigest(w) for w in index), dtype=np.uint64, count=len(index)), [BEGIN]))
+        hashes, _, which = distinct(hashes)
         return pd.DataFrame({
             "block": [(TaskContext.get().partitionId() << 24) + number], "ids": [list(ids)], "uids": [list(uids)], "learn": [np.array(learn, np.uint8).tobytes()],
-            "sizes": [packed(np.array(sizes, np.uint32))], "leads": [packed(np.array(leads, np.uint8))], "words": [packed(np.concatenate(words))],
-            "hashes": [hashes.tobytes()], "tokens": [sum(sizes) - sum(leads)],
+            "sizes": [packed(np.array(sizes, np.uint32))], "leads": [packed(np.array(leads, np.uint8))], "words": [packed(which[np.concatenate(words)])],
+            "hashes": [packed_keys(hashes)], "begin": [int(which[-1])], "vocabulary": [len(hashes)], "tokens": [sum(sizes) - sum(leads)],
         })
 
     def run(batches):
@@ -138,7 +138,7 @@ def cut(docs: DataFrame) -> DataFrame:
         if docs:
             yield block(number, docs, words, index)
 
-    return map_batches(docs, run, "block long, ids array<long>, uids array<long>, learn binary, sizes binary, leads binary, words binary, hashes binary, tokens long")
+    return map_batches(docs, run, "block long, ids array<long>, uids array<long>, learn binary, sizes binary, leads binary, words binary, hashes binary, begin int, vocabulary int, tokens long")
 
 
 def discounts(counts_of_counts: list[float]) -> np.ndarray:
@@ -158,6 +158,12 @@ def few(counts: np.ndarray) -> np.ndarray:
     return np.array([counts.sum(), (counts > 0).sum(), *np.bincount(np.minimum(counts, TOP + 2).astype(np.int64), minlength=TOP + 3)[1 : TOP + 2]], dtype=float)
 
 
+def tallied(of: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each of n contexts, how many of its counts are 1 to TOP, and the sum of the larger ones: TOP + 1 rows."""
+    rows = [np.bincount(of, weights=counts == r, minlength=n) for r in range(1, TOP + 1)]
+    return np.stack([*rows, np.bincount(of, weights=np.where(counts > TOP, counts, 0), minlength=n)])
+
+
 class Model:
     """What is known of the whole corpus: tokens, words, documents and the discounts of each order; bits of a word's number."""
 
@@ -178,6 +184,10 @@ class Model:
     def discounted(self, k: int, c: np.ndarray) -> np.ndarray:
         return self.d[k][np.minimum(c, TOP + 1).astype(np.int64)] * c
 
+    def kept(self, k: int, table: np.ndarray) -> np.ndarray:
+        """Sum of the discounted counts of each context that ``tallied`` has."""
+        return (self.d[k][1 : TOP + 1] * np.arange(1, TOP + 1)) @ table[:TOP] + table[TOP]
+
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, self.discounted(1, c) / self.divisor, self.unknown)
 
@@ -198,21 +208,18 @@ class State:
         self.sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
         self.leads = unpacked(row["leads"], np.uint8).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        words = unpacked(row["words"], np.uint32)
-        vocabulary = np.concatenate(([END], np.frombuffer(row["hashes"], dtype=np.uint64), [BEGIN]))
-        self.keys1, _, which = distinct(vocabulary)
-        self.word, self.begin = which[words], int(which[-1])
+        self.word, self.begin, self.vocabulary = unpacked(row["words"], np.int32), int(row["begin"]), int(row["vocabulary"])
         learned = np.frombuffer(row["learn"], dtype=np.uint8)
         self.learned_starts = float(learned[self.leads == 0].sum())
         self.learn = np.repeat(learned, self.sizes)
         # the words that lead a part are scored and counted where they stand first
-        self.lead = np.arange(len(words)) - np.repeat(self.starts, self.sizes) < np.repeat(self.leads, self.sizes)
+        self.lead = np.arange(len(self.word)) - np.repeat(self.starts, self.sizes) < np.repeat(self.leads, self.sizes)
         self.learn[self.lead] = 0
-        self.first = np.zeros(len(words), dtype=bool)
+        self.first = np.zeros(len(self.word), dtype=bool)
         self.first[self.starts] = True
 
     def words(self) -> np.ndarray:
-        return np.bincount(self.word, weights=self.learn, minlength=len(self.keys1))
+        return np.bincount(self.word, weights=self.learn, minlength=self.vocabulary)
 
     def number(self, model: Model, answers) -> None:
         """Numbers of the words, from the answers about them, and the pairs."""
@@ -245,25 +252,23 @@ class State:
         self.count2 = two[self.context]
 
     def word_counts(self) -> np.ndarray:
-        out = np.zeros(len(self.keys1))
+        out = np.zeros(self.vocabulary)
         out[self.word] = self.c1
         out[self.begin] = self.model.documents
         return out
 
     def mass1(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each word, as a context: what the bigrams that this block accounts for keep, and their words' unigram mass."""
+        """For each word, as a context: the counts of the bigrams that this block accounts for, and those of their words."""
         mine = self.mine & (self.two > 0)
         mine[self.start] = False
         seen = np.flatnonzero(mine)
-        at = self.at2[seen]
-        n = len(self.keys1)
-        return (np.bincount(self.before[at], weights=self.model.discounted(2, self.two[seen]) * STEP, minlength=n),
-                np.bincount(self.before[at], weights=np.rint(self.p1[at] * UNIT), minlength=n))
+        at, n = self.at2[seen], self.vocabulary
+        return tallied(self.before[at], self.two[seen], n), tallied(self.before[at], self.c1[at], n)
 
     def bigrams(self, answers) -> None:
-        kept, lower, _, _ = answers("m1")
-        divisor, alpha = weights(self.count1, kept[self.before] / STEP, lower[self.before] / UNIT)
-        self.p2 = np.where(self.c2 > 0, self.model.discounted(2, self.c2) / divisor, alpha * self.p1)
+        bigrams, words, _, _ = answers("m1", (TOP + 1, TOP + 1, 0))
+        self.divisor1, alpha = weights(self.word_counts(), self.model.kept(2, bigrams), self.model.kept(1, words) / self.model.divisor)
+        self.p2 = np.where(self.c2 > 0, self.model.discounted(2, self.c2) / self.divisor1[self.before], alpha[self.before] * self.p1)
         # trigrams that may be known, by context and word; a context that is asked about without such has a word that does not exist
         self.asks3 = np.flatnonzero((self.count2 > 0) & (self.c2 > 0))
         bits = np.uint64(self.model.bits)
@@ -272,13 +277,13 @@ class State:
         wanted = np.zeros(len(self.two), dtype=bool)
         wanted[self.context] = True
         wanted = np.flatnonzero(wanted & (self.two > 0))
-        keys, at, which = distinct(np.concatenate((real, (wanted.astype(np.uint64) << bits) | self.none)))
+        keys, _, which = distinct(np.concatenate((real, (wanted.astype(np.uint64) << bits) | self.none)))
         self.in3 = which[: len(real)]
         self.ctx3, self.w3 = (keys >> bits).astype(np.int64), keys & self.none
         self.own3 = np.bincount(self.in3, weights=self.learn[self.asks3], minlength=len(keys))
-        self.low3 = np.zeros(len(keys))
-        p = np.rint(self.p2 * UNIT)
-        self.low3[self.in3] = p[self.asks3]
+        self.two3 = np.zeros(len(keys))
+        self.two3[self.in3] = self.c2[self.asks3]
+        self.two3[self.own3 == 0] = 0
         self.here = self.alone[self.ctx3]
         self.hot = ~self.here & (self.two[self.ctx3] > HOT)
 
@@ -298,35 +303,30 @@ class State:
         """Rows about trigrams, and what the block adds to the counts of counts for the contexts that no other block has."""
         plain = np.flatnonzero(~self.here & ~self.hot)
         keys = (self.at2_[self.ctx3[plain]] << np.uint64(self.model.bits)) | self.w3[plain]
-        low = np.where(self.own3 > 0, self.low3, 0)
-        yield from sent("c3", self.block, self.where2[self.ctx3[plain]], self.model.ranges, keys, self.own3[plain], low[plain])
+        yield from sent("c3", self.block, self.where2[self.ctx3[plain]], self.model.ranges, keys, self.own3[plain], self.two3[plain])
         for _, kind, name, at in self.dealt():
-            yield kind, name, self.block, packed_keys(self.w3[at]), packed_values(self.own3[at]), packed_values(low[at])
+            yield kind, name, self.block, packed_keys(self.w3[at]), packed_values(self.own3[at]), packed_values(self.two3[at])
         yield "s3", self.block % self.model.ranges, self.block, packed_keys(np.zeros(0, np.uint64)), packed_values(few(self.own3[self.here])), None
 
     def trigrams(self, answers) -> np.ndarray:
         c3, n = self.own3.copy(), len(self.two)
-        by_count, lower = np.zeros((TOP, n)), np.zeros(n)
         at = np.flatnonzero(self.here & (self.own3 > 0))
-        lower += np.bincount(self.ctx3[at], weights=self.low3[at], minlength=n)
-        for r in range(TOP):
-            by_count[r] += np.bincount(self.ctx3[at], weights=self.own3[at] == r + 1, minlength=n)
+        followers, bigrams = tallied(self.ctx3[at], self.own3[at], n), tallied(self.ctx3[at], self.two3[at], n)
         plain = np.flatnonzero(~self.here & ~self.hot)
         asked = np.unique(self.ctx3[plain])
-        first, second, third, _ = answers("c3", TOP)
-        c3[plain], lower[asked], by_count[:, asked] = first, second, third
+        heights = (0, TOP + 1, TOP + 1)
+        c3[plain], followers[:, asked], bigrams[:, asked], _ = answers("c3", heights)
         for c, kind, name, at in self.dealt():
-            first, second, third, _ = answers(kind, TOP, name)
-            c3[at] = first
-            lower[c] += second[0]
-            by_count[:, c] += third[:, 0]
-        steps = np.arange(1, TOP + 1) * (1 - self.model.d[3][1 : TOP + 1])
-        kept = self.two - steps @ by_count
-        divisor, alpha = weights(self.two, kept, lower / UNIT)
-        out = alpha[self.context] * self.p2
-        known = np.zeros(len(out))
+            c3[at], more, below, _ = answers(kind, heights, name)
+            followers[:, c] += more[:, 0]
+            bigrams[:, c] += below[:, 0]
+        # the second word of each context
+        word = self.word[np.minimum(self.at2, len(self.word) - 1)]
+        word[self.start] = self.begin
+        divisor, alpha = weights(self.two, self.model.kept(3, followers), self.model.kept(2, bigrams) / self.divisor1[word])
+        known = np.zeros(len(self.word))
         known[self.asks3] = c3[self.in3]
-        return np.where(known > 0, self.model.discounted(3, known) / divisor[self.context], out)
+        return np.where(known > 0, self.model.discounted(3, known) / divisor[self.context], alpha[self.context] * self.p2)
 
 
 def top_range(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -339,15 +339,21 @@ def sent(kind: str, block: int, where: np.ndarray, ranges: int, keys: np.ndarray
     cuts = np.searchsorted(where, np.arange(ranges + 1))
     for r in np.flatnonzero(cuts[1:] > cuts[:-1]):
         a, b = cuts[r], cuts[r + 1]
-        yield kind, int(r), block, packed_keys(keys[a:b]), packed_values(first[a:b]), None if second is None else packed_values(second[a:b])
+        yield kind, int(r), block, packed_keys(keys[a:b]), packed_values(first[..., a:b].ravel()), None if second is None else packed_values(second[..., a:b].ravel())
 
 
-def added(kind: str, blocks: list, keys: list[np.ndarray], first: list[np.ndarray], second: list[np.ndarray] | None, bits: int):
+def added(kind: str, keys: list[np.ndarray], first: list[np.ndarray], second: list[np.ndarray] | None, bits: int):
     """What a range answers each block, and its statistics."""
     every, owner, which = distinct(np.concatenate(keys))
-    total = np.bincount(which, weights=np.concatenate(first), minlength=len(every))
     ends = np.cumsum([len(k) for k in keys])
     parts = [which[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    if kind == "m1":
+        sums = []
+        for x in (first, second):
+            rows = np.concatenate([y.reshape(TOP + 1, -1) for y in x], axis=1)
+            sums.append(np.stack([np.bincount(which, weights=y, minlength=len(every)) for y in rows]))
+        return [(*(packed_values(x[:, p].ravel()) for x in sums), None) for p in parts], None
+    total = np.bincount(which, weights=np.concatenate(first), minlength=len(every))
     if kind == "c1":
         return [(packed_values(total[p]), None, packed_keys(p.astype(np.uint64))) for p in parts], [*few(total), float(len(every))]
     if kind == "c2":
@@ -359,24 +365,21 @@ def added(kind: str, blocks: list, keys: list[np.ndarray], first: list[np.ndarra
         for a, p in zip([0, *ends[:-1]], parts):
             out.append((packed_values(total[p]), packed_values(own[a : a + len(p)] + 2 * alone[p]), packed_keys(p[asked[p]].astype(np.uint64))))
         return out, [*few(total), float(len(every))]
-    if kind == "m1":
-        lower = np.bincount(which, weights=np.concatenate(second), minlength=len(every))
-        return [(packed_values(total[p]), packed_values(lower[p]), None) for p in parts], None
-    low = np.concatenate(second)
-    mass = np.zeros(len(every))
-    mass[which[low > 0]] = low[low > 0]  # the same from every block
+    count2 = np.concatenate(second)
+    two = np.zeros(len(every))
+    two[which[count2 > 0]] = count2[count2 > 0]  # the same from every block
     contexts, _, of = distinct(every >> np.uint64(bits))
-    lower = np.bincount(of, weights=mass * (total > 0), minlength=len(contexts))
-    by_count = np.stack([np.bincount(of, weights=total == r, minlength=len(contexts)) for r in range(1, TOP + 1)])
+    followers, bigrams = tallied(of, total, len(contexts)), tallied(of, two, len(contexts))
     out = []
     for p in parts:
         c = np.unique(of[p])
-        out.append((packed_values(total[p]), packed_values(lower[c]), packed_values(by_count[:, c].ravel())))
+        out.append((packed_values(total[p]), *(packed_values(x[:, c].ravel()) for x in (followers, bigrams))))
     return out, [*few(total), 0.0]
 
 
-def summed(rows: DataFrame, bits: int, before: DataFrame | None = None) -> DataFrame:
-    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1. With the answers before."""
+def summed(rows: DataFrame, bits: int, before: DataFrame | None = None, last: bool = False) -> DataFrame:
+    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1. With the answers before, or just these if
+    they are the last, which are read once and so not laid out by block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, r = pdf["kind"].iloc[0], int(pdf["range"].iloc[0])
@@ -385,13 +388,15 @@ def summed(rows: DataFrame, bits: int, before: DataFrame | None = None) -> DataF
             out, stats = [], [*np.sum(first, axis=0), 0.0]
         else:
             second = None if pdf["second"].iloc[0] is None else [unpacked_values(x) for x in pdf["second"]]
-            out, stats = added(kind, list(pdf["block"]), [unpacked_keys(k) for k in pdf["keys"]], first, second, bits)
+            out, stats = added(kind, [unpacked_keys(k) for k in pdf["keys"]], first, second, bits)
             out = [(kind, r, b, *x, None) for b, x in zip(pdf["block"], out)]
         if stats is not None:
             out.append(("c3" if kind[0] in "hs" else kind, r, -1, None, None, None, [float(x) for x in stats]))
         return pd.DataFrame(out, columns=ANSWER_COLUMNS)
 
     answers = ready(rows).groupBy("kind", "range").applyInPandas(run, ANSWERS)
+    if last:
+        return materialise(answers, "katz_answers")
     # laid out like the blocks, so that no later pass shuffles either
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialise(answers.repartition(parts, "block"), "katz_answers", by="block", into=before)
@@ -410,21 +415,24 @@ def statistics(answers: DataFrame) -> dict[str, list[float]]:
 
 
 def lookup(answers: pd.DataFrame):
-    """The answers to a block about one kind, in the order of its sorted keys: two rows of numbers; then a third, as a table of ``height`` rows, or as
-    places within a range; then the ranges of these."""
+    """The answers to a block about one kind, in the order of its sorted keys: three rows of numbers, or tables of so many ``heights``. Where the third
+    has none, it is places within a range, and the ranges of these follow."""
     kinds = dict(iter(answers.groupby("kind")))
 
-    def of(kind: str, height: int = 0, name: int | None = None):
+    def of(kind: str, heights: tuple[int, int, int] = (0, 0, 0), name: int | None = None):
         rows = kinds.get(kind, answers.iloc[:0]).sort_values("range")
         rows = rows if name is None else rows[rows["range"] == name]
-        put = lambda parts, kind, axis=0: np.concatenate(parts, axis=axis) if len(parts) else np.zeros((height, 0) if axis else 0, kind)
-        has = lambda c: [x for x in rows[c] if x is not None]
-        first, second = (put([unpacked_values(x) for x in has(c)], np.float64) for c in ("first", "second"))
-        if height:
-            return first, second, put([unpacked_values(x).reshape(height, -1) for x in has("third")], np.float64, 1), None
-        third = [unpacked_keys(x) for x in has("third")]
-        where = [np.full(len(x), r) for r, x in zip(rows["range"], third)]
-        return first, second, put(third, np.uint64), put(where, np.int64)
+
+        def put(column: str, height: int) -> np.ndarray:
+            parts = [unpacked_values(x).reshape((height, -1) if height else -1) for x in rows[column] if x is not None]
+            return np.concatenate(parts, axis=-1) if parts else np.zeros((height, 0) if height else 0)
+
+        first, second = put("first", heights[0]), put("second", heights[1])
+        if heights[2]:
+            return first, second, put("third", heights[2]), None
+        third = [(r, unpacked_keys(x)) for r, x in zip(rows["range"], rows["third"]) if x is not None]
+        where = np.repeat(np.array([r for r, _ in third], dtype=np.int64), [len(x) for _, x in third])
+        return first, second, np.concatenate([np.zeros(0, np.uint64), *(x for _, x in third)]), where
 
     return of
 
@@ -447,8 +455,8 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def words(batches):
         for pdf in batches:
             for _, row in pdf.iterrows():
-                s = State(row)
-                yield pd.DataFrame(sent("c1", s.block, top_range(s.keys1, 64, ranges), ranges, s.keys1, s.words()), columns=ROW_COLUMNS)
+                s, keys = State(row), unpacked_keys(row["hashes"])
+                yield pd.DataFrame(sent("c1", s.block, top_range(keys, 64, ranges), ranges, keys, s.words()), columns=ROW_COLUMNS)
 
     def beside(answers: DataFrame, run, schema: str) -> DataFrame:
         def each(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -457,6 +465,8 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return ready(blocks).groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(each, schema)
 
     answers = summed(map_batches(blocks, words, ROWS), 0)
+    hashed, blocks = blocks, materialise(blocks.drop("hashes"), "katz_blocks", by="block")
+    discard(hashed)
     stats = statistics(answers)
     model1 = Model(stats, documents, ranges)
 
@@ -482,8 +492,8 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         s.bigrams(of)
         return pd.DataFrame(list(s.asks()), columns=ROW_COLUMNS)
 
-    answers = summed(beside(answers, trigrams, ROWS), model2.bits, answers)
-    stats |= {k: v for k, v in statistics(answers).items() if k == "c3"}
+    answers3 = summed(beside(answers, trigrams, ROWS), model2.bits, last=True)
+    stats |= {k: v for k, v in statistics(answers3).items() if k == "c3"}
     model3 = Model(stats, documents, ranges)
 
     def last(s: State, of) -> pd.DataFrame:
@@ -499,7 +509,8 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             "n_known": add((scored & (s.c1 > 0)).astype(np.int64)), "base_score": add(base), "score": add(each),
         })
 
-    found = beside(answers, last, "uid long, id long, n_tokens long, n_known long, base_score double, score double")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = beside(answers.unionByName(answers3.repartition(parts, "block")), last, "uid long, id long, n_tokens long, n_known long, base_score double, score double")
     return found.groupBy("uid").agg(
         F.first("id").alias(id_col), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")), F.lit(int(model3.total)).cast("long").alias("train_tokens"),
         *(F.sum(c).alias(c) for c in ("base_score", "score")),
