@@ -1,6 +1,7 @@
 """Language, personal data, quality, near duplicates and mixing, on small tables."""
 
 import random
+from collections import Counter
 import re
 import zlib
 
@@ -169,7 +170,7 @@ def test_quality_without_labels(spark):
 
 
 def plain_classes(rows):
-    """Union of equal texts and of texts whose five-word shingles overlap by 0.8."""
+    """Union of equal texts and of texts whose edit similarity by labelled five-word shingles is 0.8; no text here has the same shingles in another order."""
     first = {}
     for i, t, *_ in rows:
         if t is not None:
@@ -185,7 +186,7 @@ def plain_classes(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            if a < b and sets[a] and sets[b] and 2 * (sets[a] & sets[b]).total() >= 0.8 * (sets[a].total() + sets[b].total()):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: i if t is None else find(first[t]) for i, t, *_ in rows}
@@ -193,7 +194,7 @@ def plain_classes(rows):
 
 def neardup_shingles(text):
     w = text.lower().split()
-    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)) if w)
 
 
 def near_rows(seed, crowd=60):
@@ -223,35 +224,72 @@ def test_near_duplicates_against_brute_force(spark, seed):
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
-    """Small blocks split every bucket and give the same."""
+    """Small blocks, of texts or of shingles, split every bucket and give the same."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
     rows = near_rows(3)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, rows)).collect()}
     assert got == plain_classes(rows)
 
 
-def test_near_duplicates_whatever_repeats(spark):
-    """Links are by distinct shingles, so it does not matter how often a text or a line repeats."""
+def test_near_duplicates_that_repeat(spark):
+    """Shingles that come again are others: a line that comes 10 or 11 times links, one that comes 10 or 40 times does not."""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     rows = []
     for g in range(12):
         text = [word() for _ in range(60)]
-        rows += [(100 * g + k, " ".join(text * n), "en", "s") for k, n in enumerate((1, 2, 5))]
+        rows += [(100 * g + k, " ".join(text * n), "en", "s") for k, n in enumerate((1, 2, 5, 6))]
         body, line = [word() for _ in range(100)], [word() for _ in range(12)]
-        rows += [(100 * g + 50 + k, " ".join(body + line * n), "en", "s") for k, n in enumerate((10, 40))]
+        rows += [(100 * g + 50 + k, " ".join(body + line * n), "en", "s") for k, n in enumerate((10, 11, 40))]
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs(spark, rows)).collect()}
     assert got == plain_classes(rows)
+    assert all(got[100 * g + 51] == 100 * g + 50 and got[100 * g + 52] == 100 * g + 52 and got[100 * g + 3] == 100 * g + 2 for g in range(12))
 
 
 def test_near_duplicates_of_few_shingles():
-    """Every link of texts of few distinct shingles has a key in common, in more pairs than the tables get by luck."""
+    """Every link of texts of few shingles has a key in common, in more pairs than the tables get by luck."""
     import numpy as np
 
+    few = range(1, neardup.FEW + 1)
+    assert all(max(n, m) - k <= 2 for n in few for m in few for k in range(1, min(n, m) + 1) if 2 * k >= 0.8 * (n + m))
     rng = np.random.default_rng(8)
-    for _ in range(3000):
-        a = rng.integers(1, 2**63, rng.integers(5, 10), dtype=np.uint64)
-        assert set(neardup.sketch(a)) & set(neardup.sketch(np.delete(a, rng.integers(len(a)))))
+    for _ in range(1500):
+        a = rng.integers(1, 2**63, rng.integers(5, neardup.FEW + 1), dtype=np.uint64)
+        b = np.delete(a, rng.choice(len(a), rng.integers(1, 3 if len(a) > 5 else 2), replace=False))
+        b = np.insert(b, rng.integers(0, len(b) + 1), rng.integers(1, 2**63, dtype=np.uint64)) if len(a) > 6 and len(a) - len(b) == 1 else b
+        assert neardup.similarity(a, b) < 0.8 or set(neardup.exact_keys(a).tolist()) & set(neardup.exact_keys(b).tolist())
+
+
+def test_near_duplicates_recall_of_the_tables():
+    """Pairs at the threshold, of all lengths beyond the exact keys, share a value of some table."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    missed = 0
+    for _ in range(4000):
+        n = int(rng.integers(9, 60))
+        k = -(-8 * n // 10)  # common shingles, in order
+        a = rng.integers(1, 2**63, n, dtype=np.uint64)
+        b = a.copy()
+        b[rng.choice(n, n - k, replace=False)] = rng.integers(1, 2**63, n - k, dtype=np.uint64)
+        assert neardup.similarity(a, b) >= 0.8
+        missed += not set(neardup.order_min_hash(a).tolist()) & set(neardup.order_min_hash(b).tolist())
+    assert missed <= 8
+
+
+def test_deduplicated(spark):
+    """One row of each class, also where ids are null or repeat; rows of null text stay."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", "a"), (1, text, "en", "b"), (2, text + " x", "en", "c"), (None, text + " y", "en", "d"), (None, "p q r s t u", "en", "e"), (None, "p q r s t u", "en", "f"),
+            (5, None, None, None), (5, None, None, None), (6, "", None, "g"), (7, "", None, "h"), (8, "other words in this text here", None, "i")]
+    out = neardup.deduplicated(docs(spark, rows))
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == ["doc_id", "text", "lang", "source", *out.columns[4:]]
+    one = [x for x in got if x[1] and x[1].startswith(text)]  # the null id counts by its hash
+    assert one in ([(1, text)], [(None, text + " y")])
+    assert got == sorted([*one, (None, "p q r s t u"), (5, None), (5, None), (6, ""), (8, "other words in this text here")], key=str)
+    assert neardup.deduplicated(docs(spark, []).limit(0)).count() == 0
 
 
 def test_near_duplicates_edges(spark):
@@ -277,7 +315,7 @@ def test_alignment():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         n = table[-1][-1]
-        want = n / (len(a) + len(b) - n)
+        want = 2 * n / (len(a) + len(b))
         got = neardup.similarity(a, b)
         assert (got >= 0.8) == (want >= 0.8) and (want < 0.8 or got == pytest.approx(want))
 

@@ -1,11 +1,10 @@
 """Near-duplicate texts by Order MinHash, candidates verified by banded alignment.
 
-A text is a sequence of five-word shingles. One Order MinHash value keeps the ``PICKED`` shingles with the smallest hashes and hashes
-them in text order, so texts share it if they have the same shingles in the same order. It is taken over the distinct shingles in
-order of first occurrence, which is what is verified, and where shingles repeat also over all of them, the n-th occurrence of a
-shingle labelled n. Texts with an equal value in one of ``TABLES`` tables are candidates, and so are texts of up to ``FEW`` distinct
-shingles of which one is the other or lacks one of its shingles: with so few, every link is of that kind. Two texts are linked if the
-longest common subsequence of their distinct shingles, as a share of all distinct shingles of both, is 0.8 or more.
+A text is a sequence of five-word shingles; where one repeats, its n-th occurrence is labelled n, so that a text holds each labelled shingle
+once. One Order MinHash value keeps the ``PICKED`` labelled shingles with the smallest hashes and hashes them in text order, so texts share it if they
+have the same shingles in the same order. Texts with an equal value in one of ``TABLES`` tables are candidates, and so are texts of up to ``FEW``
+shingles that are equal after one or two of these are left out: with so few, every link is of that kind. Two texts are linked if their edit similarity
+is 0.8 or more: twice the longest common subsequence of their labelled shingles, found by banded alignment, as a share of both lengths.
 """
 
 from __future__ import annotations
@@ -22,14 +21,14 @@ from tidewater.llm.common import components, discard, map_batches, materialise,
 
 WORDS = 5
 THRESHOLD = 0.8
-TABLES = 20
-PICKED = 4
-#: Texts of so many distinct shingles find each other by their shingles themselves: of 9 in all, a link of 0.8 leaves out one at most.
-FEW = 9
+TABLES = 28
+PICKED = 3
+#: Texts of so many shingles at most find each other by their shingles themselves: a link of 0.8 between two such leaves out two of each at most.
+FEW = 8
 #: Tables of the first round, which contracts the large groups.
 FIRST_TABLES = 3
-#: Members of a bucket in one block of work.
-BLOCK = 512
+#: Members of a bucket, and shingles that they hold, in one block of work.
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: How often texts without a possible partner are peeled off after each round; each time others lose shared shingles.
 PEELS = 2
 _SEEDS = np.random.default_rng(41).integers(1, 2**63, size=(TABLES, 2), dtype=np.uint64) | np.uint64(1)
@@ -61,21 +60,21 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return mixed(out)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The keys of a text: the Order MinHash value of each table over its distinct shingles, the same over the labelled ones where
-    shingles repeat, and the exact keys of a text of few."""
+def labelled(s: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with the number of earlier occurrences."""
     order = np.argsort(s, kind="stable")
-    start = np.concatenate(([True], s[order][1:] != s[order][:-1]))
-    once = s[np.sort(order[start])]
-    out = [order_min_hash(mixed(once))]
-    if len(once) < len(s):
-        first = np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-        label = np.empty(len(s), dtype=np.uint64)
-        label[order] = np.arange(len(s)) - first
-        out.append(order_min_hash(mixed(s + label * np.uint64(0xD1B54A32D192ED03))))
-    if len(once) <= FEW:
-        out.append(exact_keys(once))
-    return np.concatenate(out).view(np.int64)
+    start = np.concatenate(([True], s[order][1:] != s[order][:-1]))[: len(s)]
+    if start.all():
+        return mixed(s)
+    label = np.empty(len(s), dtype=np.uint64)
+    label[order] = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
+    return mixed(s + label * np.uint64(0xD1B54A32D192ED03))
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The keys of a text's labelled shingles: the Order MinHash value of each table, and the exact keys of a text of few."""
+    out = order_min_hash(s)
+    return (np.concatenate([out, exact_keys(s)]) if len(s) <= FEW else out).view(np.int64)
 
 
 def order_min_hash(s: np.ndarray) -> np.ndarray:
@@ -90,21 +89,14 @@ def order_min_hash(s: np.ndarray) -> np.ndarray:
 
 
 def exact_keys(s: np.ndarray) -> np.ndarray:
-    """Hashes of the sequence and of the sequence without each of its shingles."""
-    kept = [s, *(np.delete(s, k) for k in range(len(s)) if len(s) > 1)]
-    out = []
-    for x in kept:
-        h = np.array([0x452821E638D01377], dtype=np.uint64)
-        for v in x:
-            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + v)
-        out.append(h)
-    return np.concatenate(out)
-
-
-def distinct_shingles(s: np.ndarray) -> np.ndarray:
-    """32 bits of each distinct shingle, in order of first occurrence."""
-    short = (s >> np.uint64(32)).astype(np.uint32)
-    return short[np.sort(np.unique(short, return_index=True)[1])]
+    """Hashes of the sequence, and of the sequence without one or two of its shingles."""
+    n = len(s)
+    left_out = [(), *((i,) for i in range(n) if n > 1), *((i, j) for i in range(n) for j in range(i) if n > 2)]
+    out = np.full(len(left_out), 0x452821E638D01377, dtype=np.uint64)
+    for row, gone in enumerate(left_out):
+        for x in np.delete(s, gone):
+            out[row : row + 1] = mixed(out[row : row + 1] * np.uint64(0x9E3779B97F4A7C15) + x)
+    return out
 
 
 def increasing(where: list[int]) -> int:
@@ -120,19 +112,18 @@ def increasing(where: list[int]) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Share of aligned shingles, or less where it is under the threshold: an alignment that reaches the threshold leaves no room
-    outside the band, so that the banded one is exact there."""
+    """Edit similarity of two sequences of labelled shingles, or less where it is under the threshold: an alignment that reaches the threshold
+    leaves no room outside the band, so that the banded one is exact there."""
     _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order]
     both = len(a) + len(b)
-
-    if len(ib) < threshold * max(1, both - len(ib)):
+    if not both or 2 * len(ib) < threshold * both:
         return 0.0
-    band = max(len(a), len(b)) - threshold / (1 + threshold) * both
+    band = max(len(a), len(b)) - threshold / 2 * both
     at = ib[np.abs(ia - ib) <= band + 1]
     n = len(at) if len(at) < 2 or (at[1:] > at[:-1]).all() else increasing(at.tolist())
-    return n / (both - n) if both > n else 0.0
+    return 2 * n / both
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +134,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             hashes = WordHashes()
             keys = []
             for t in pdf["text"]:
-                s = shingles(t, hashes)
+                s = labelled(shingles(t, hashes))
                 keys.append(sketch(s) if len(s) else None)
             yield pd.DataFrame({"id": pdf["id"], "sha": pdf["sha"], "keys": keys})
 
@@ -157,7 +148,7 @@ def accepted(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for pdf in batches:
             linked = [
-                similarity(np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32), threshold) >= threshold
+                similarity(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), threshold) >= threshold
                 for x, y in zip(pdf["x"], pdf["y"])
             ]
             yield pdf.loc[linked, ["a", "b"]]
@@ -173,7 +164,7 @@ def accepted(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 def possible(threshold: float, n: str, u: str, n2: str, u2: str) -> Column:
     """Whether two texts can be linked: neither has its u unshared shingles in common with the other."""
     most = F.least(F.col(n) - F.col(u), F.col(n2) - F.col(u2))
-    return most >= (threshold - 1e-9) * (F.col(n) + F.col(n2) - most)
+    return 2 * most >= (threshold - 1e-9) * (F.col(n) + F.col(n2))
 
 
 def alive(entries: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -187,27 +178,27 @@ def alive(entries: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def peeled(entries: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """Count u, the shingles of a text that no other text of these buckets has, and drop the texts that hence have no
-    partner: whoever links to a text of n shingles has ``threshold`` * n of them at least."""
+    partner: whoever links to a text of n shingles has ``threshold / (2 - threshold)`` * n of them at least."""
 
     def spread(batches):
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "h": [np.frombuffer(x, dtype=np.int32) for x in pdf["seq"]]})
+            yield pd.DataFrame({"node": pdf["node"], "h": [np.frombuffer(x, dtype=np.int64) for x in pdf["seq"]]})
 
     nodes = materialise(entries.select("node").distinct(), "omh-nodes")
-    held = map_batches(seqs.join(nodes, "node", "left_semi").select("node", "seq"), spread, "node long, h array<int>")
+    held = map_batches(seqs.join(nodes, "node", "left_semi").select("node", "seq"), spread, "node long, h array<long>")
     alone = (
         held.select("node", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"))
         .where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("alone"))
     )
     counted = entries.drop("u").join(materialise(alone, "omh-alone"), "node", "left").withColumn("u", F.coalesce("alone", F.lit(0)))
-    return alive(counted.where(F.col("u") <= (1 - threshold + 1e-9) * F.col("n")).select("key", "t", "node", "comp", "n", "u"))
+    return alive(counted.where(F.col("u") <= (1 - threshold / (2 - threshold) + 1e-9) * F.col("n")).select("key", "t", "node", "comp", "n", "u"))
 
 
 def compared(entries: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """Links between the components of each bucket. Members are dealt to blocks of BLOCK and the blocks compared two by two, so that no
-    task holds a large bucket; a pair is a row only if it is a link that joins two components."""
+    """Links between the components of each bucket. Members are dealt to blocks of about BLOCK texts or BLOCK_SHINGLES shingles, whichever is less, and the
+    blocks compared two by two, so that no task holds a large bucket; a pair is a row only if it is a link that joins two components."""
     sizes = materialise(
-        entries.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "omh-sizes"
+        entries.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES)).cast("int").alias("blocks")), "omh-sizes"
     )
     work = (
         entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -226,13 +217,13 @@ def linked(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     right = np.flatnonzero(group["own"] == group["hi"].iloc[0])
     i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
     most = np.minimum((n - u)[i], (n - u)[j])
-    open_ = (comp[i] != comp[j]) & (most >= (threshold - 1e-9) * (n[i] + n[j] - most))
+    open_ = (comp[i] != comp[j]) & (2 * most >= (threshold - 1e-9) * (n[i] + n[j]))
     if group["lo"].iloc[0] == group["hi"].iloc[0]:
         open_ &= i < j
     i, j = i[open_], j[open_]
     if not len(i):
         return None
-    seq = [np.frombuffer(x, dtype=np.uint32) for x in group["seq"]]
+    seq = [np.frombuffer(x, dtype=np.uint64) for x in group["seq"]]
     if len(i) > 64:
         # shingles in common, counted for all pairs of the blocks at once
         every, where = np.unique(np.concatenate(seq), return_inverse=True)
@@ -248,7 +239,7 @@ def linked(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
             m[doc[inside], column[inside] - c] = 1
             common += m @ m.T
         k = common[i, j]
-        enough = k >= (threshold - 1e-9) * (n[i] + n[j] - k)
+        enough = 2 * k >= (threshold - 1e-9) * (n[i] + n[j])
         i, j = i[enough], j[enough]
     root = dict(zip(comp.tolist(), comp.tolist()))
 
@@ -266,16 +257,8 @@ def linked(group: pd.DataFrame, threshold: float) -> pd.DataFrame | None:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row (id, class_id, kept) for each row of docs: class_id is the smallest id among the texts reached by links.
-
-    Equal texts are one text from the start. Null texts stand alone each by its id; empty texts are copies of one another, texts of one to four words
-    are linked if they have equal words. Texts that share an id are taken as one document. A null id takes a number
-    hashed from its text. ``kept`` holds for the rows whose id is the class id. An empty table gives an empty result.
-
-    Large buckets: all members are compared with a pivot, in two rounds; pairs within one component need no comparison. Texts with more
-    unshared shingles than a link allows are peeled off, which is exact. What pairs are left are compared block by block, none is dropped.
-    """
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id, sha) of every row, sha being that of its text, and the class of every text: (sha, class)."""
     base = materialise(sketches(docs, id_col, text_col), "omh")
     exact = materialise(
         base.where("sha is not null").groupBy("sha").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
@@ -294,13 +277,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sequences(batches):
         for pdf in batches:
             hashes = WordHashes()
-            yield pd.DataFrame({"node": pdf["node"], "seq": [distinct_shingles(shingles(t, hashes)).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"node": pdf["node"], "seq": [labelled(shingles(t, hashes)).tobytes() for t in pdf["text"]]})
 
     seqs = map_batches(texts.join(needed, "node", "left_semi"), sequences, "node long, seq binary")
     seqs = materialise(seqs.dropDuplicates(["node"]), "omh-sequences")
     lengths = seqs.select("node", F.length("seq").alias("bytes"))
     entries = materialise(
-        found.join(lengths, "node").select("key", "t", "node", F.col("node").alias("comp"), (F.col("bytes") / 4).cast("int").alias("n"), F.lit(0).alias("u")), "omh-entries"
+        found.join(lengths, "node").select("key", "t", "node", F.col("node").alias("comp"), (F.col("bytes") / 8).cast("int").alias("n"), F.lit(0).alias("u")), "omh-entries"
     )
     discard(buckets, shared, needed)
     links: DataFrame | None = None
@@ -326,13 +309,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(pivots, own)
     links = links.unionByName(compared(entries, seqs, threshold))
     labels = components(links)
-    classes = materialise(
-        exact.select("sha", "node").join(labels, "node", "left").select("sha", F.coalesce("component", "node").alias("class")), "omh-classes"
+    found = exact.select("sha", "node").join(labels, "node", "left").select("sha", F.coalesce("component", "node").alias("class"))
+    return base.select("id", "sha"), materialise(found, "omh-classes")
+
+
+def own_id(id_: str = "id", sha: str = "sha") -> Column:
+    return F.coalesce(F.col(id_), F.xxhash64(F.coalesce(F.col(sha), F.lit(""))))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row (id, class_id, kept) for each row of docs: class_id is the smallest id among the texts reached by links.
+
+    Equal texts are one text from the start. Null texts stand alone each by its id; empty texts are copies of one another, texts of one to four words
+    are linked if they have equal words. Texts that share an id are taken as one document. A null id takes a number
+    hashed from its text. ``kept`` holds for the rows whose id is the class id, so repeated rows are all kept or all not. Other columns are not looked at.
+    An empty table gives an empty result.
+
+    Large buckets: all members are compared with a pivot, in two rounds; pairs within one component need no comparison. Texts with more
+    unshared shingles than a link allows are peeled off, which is exact. What pairs are left are compared block by block, none is dropped.
+    """
+    rows, found = classes(docs, id_col, text_col, threshold)
+    return rows.join(found, "sha", "left").select(
+        F.col("id").alias(id_col), F.coalesce("class", own_id()).alias("class_id"), (own_id() == F.coalesce("class", own_id())).alias("kept")
     )
-    own = F.coalesce("id", F.xxhash64(F.coalesce("sha", F.lit(""))))
-    return base.select("id", "sha").join(classes, "sha", "left").select(
-        F.col("id").alias(id_col), F.coalesce("class", own).alias("class_id"), (own == F.coalesce("class", own)).alias("kept")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs without near copies, all columns kept: of each class, one row that has the class id. Rows of null text all stay. Rows that
+    repeat, or have a null id, leave one. Columns of docs whose names begin with ``_omh_`` are not allowed."""
+    rows, found = classes(docs, id_col, text_col, threshold)
+    many = materialise(
+        rows.where("sha is not null").join(found, "sha").groupBy("class", "id", "sha").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("best", own_id() == F.col("class")), "omh-members"
     )
+    gone = many.where("not best").select(F.col("id").alias("_omh_id"), F.col("sha").alias("_omh_sha"))
+    # rows that the class id does not tell apart; few, so that only they are shuffled with their texts
+    unclear = many.where("best").groupBy("class").agg(F.sum("n").alias("n"), F.collect_set("sha").alias("shas")).where("n > 1")
+    unclear = unclear.select(F.col("class").alias("_omh_class"), F.explode("shas").alias("_omh_sha"))
+    keyed = docs.withColumn("_omh_sha", F.sha2(F.col(text_col).cast("binary"), 256)).withColumn("_omh_id", F.col(id_col).cast("long"))
+    left = keyed.join(gone.withColumnsRenamed({"_omh_sha": "s", "_omh_id": "i"}), (F.col("_omh_sha") == F.col("s")) & F.col("_omh_id").eqNullSafe(F.col("i")), "left_anti")
+    single = left.join(unclear.select("_omh_sha").distinct(), "_omh_sha", "left_anti").select(*docs.columns)
+    chosen = left.join(unclear, "_omh_sha").dropDuplicates(["_omh_class"]).select(*docs.columns)
+    return single.unionByName(chosen)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,11 +360,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH RECURSIVE texts AS (SELECT text, min(doc_id) AS node FROM documents WHERE text IS NOT NULL GROUP BY text),
 words AS (SELECT node, string_split_regex(trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\\s+') AS w FROM texts WHERE regexp_matches(text, '\\S')),
-sets AS (SELECT node, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words),
-each AS (SELECT node, len(s) AS n, unnest(s) AS shingle FROM sets),
+lists AS (SELECT node, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) AS s FROM words),
+spread AS (SELECT node, len(s) AS n, unnest(s) AS shingle FROM lists),
+each AS (SELECT node, n, shingle, row_number() OVER (PARTITION BY node, shingle) AS label FROM spread),
 links AS (
-  SELECT a.node AS a, b.node AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.node <> b.node
-  GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+  SELECT a.node AS a, b.node AS b FROM each a JOIN each b ON a.shingle = b.shingle AND a.label = b.label AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 2 * count(*) >= 0.8 * (a.n + b.n)
 ),
 reach AS (SELECT node, node AS other FROM texts UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other),
 classes AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node)
