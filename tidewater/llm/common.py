@@ -57,6 +57,27 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     return ready(df).mapInPandas(run, schema)
 
 
+def closed_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches that are sorted by key, cut anew so that no group is in two of them; only the last key's rows are held over."""
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        values = pdf[keys].to_numpy()
+        last = values[-1]
+        open_ = (values == last).all(axis=1)
+        if rest and not (open_.all() and (rest[0][keys].to_numpy()[0] == last).all()):
+            yield pd.concat([*rest, pdf[~open_]], ignore_index=True)
+            rest = [pdf[open_]]
+        elif not rest and not open_.all():
+            yield pdf[~open_]
+            rest = [pdf[open_]]
+        else:
+            rest.append(pdf)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], run: Callable) -> Iterator[pd.DataFrame]:
     """Call ``run`` with all rows of each key, of batches that are sorted by key. Only the last key's rows are held over."""
     rest = None
