@@ -143,6 +143,23 @@ def test_pieces_are_the_library_s(model):
     assert [pieces.decode(x, model) for x in encoder.encode(odd_texts())] == odd_texts()
 
 
+def test_long_unbroken_texts(model):
+    """A megabyte without a space, of one letter, of a few or of many, is encoded as by the library and in about linear time."""
+    import time
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rng = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for text in ("a" * 300_000, "ab" * 100_000 + "a", "".join(rng.choices("aeinst", k=200_000)), "".join(rng.choices(alphabet, k=1_000_000))):
+        began = time.time()
+        (ids,) = pieces.Encoder(model).encode([text])
+        assert time.time() - began < 60
+        assert ids.tolist() == library.encode(text)
+        assert pieces.decode(ids, model) == text
+
+
 def test_best_path_against_brute_force():
     rng = random.Random(3)
     texts = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "ca", "cab", "▁b", "bb"]
@@ -234,9 +251,11 @@ def usable(v):
     return v and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_vectors_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "small"), [(512, 32), (4, 32), (10, 2), (512, 2)])
+def test_near_vectors_against_brute_force(spark, monkeypatch, block, small):
+    """With cells of one and of many blocks, and groups small and large; a null id links with nothing."""
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SMALL", small)
     rows = vector_rows()
     df = spark.createDataFrame([(i, v, la, 1) for i, v, la in rows], "vec_id long, embedding array<float>, label int, n_links int")
     got = {r["vec_id"]: r for r in vectors.near_vectors(df).collect()}
@@ -257,11 +276,31 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     for i, *_ in rows:
-        if i is not None:
-            assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (links[i], find(i), find(i) == i)
+        want = (0, None, True) if i is None else (links[i], find(i), find(i) == i)
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_any_length(spark):
+    """Squares of the components may overflow or vanish."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0000001e200]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+    got = vectors.neighbours(df, F.col("vec_id") == 1, k=2, id_col="vec_id").orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 3]
+
+
+@pytest.mark.parametrize("dimension", [64, 256])
+def test_lattice_recall(dimension):
+    """Of pairs just at the threshold, at least 0.995 share a cell; of random ones, hardly any."""
+    rng = np.random.default_rng(4)
+    a, r = vectors.directions(rng.normal(size=(3000, dimension))), rng.normal(size=(3000, dimension))
+    r = vectors.directions(r - (r * a).sum(axis=1, keepdims=True) * a)
+    ca, cb, co = (vectors.cells(x) for x in (a, 0.98 * a + math.sqrt(1 - 0.98**2) * r, r))
+    shared = lambda x, y: (x[:, :, None] == y[:, None, :]).any(axis=(1, 2)).mean()
+    assert shared(ca, cb) >= 0.995 and shared(ca, co) < 0.001
+
+
 def test_lattice():
     rng = np.random.default_rng(3)
     y = rng.normal(size=(200, 8)) * 2

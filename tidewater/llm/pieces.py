@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import importlib.util
 import os
 import re
@@ -20,6 +21,8 @@ SPACE = "▁"
 #: A batch's texts are encoded together up to so many characters; so many distinct units are remembered in a task.
 BATCH_CHARS = 1_500_000
 REMEMBERED = 400_000
+#: Stretches of more characters are merged with a queue of their own.
+LONG = 256
 
 
 def default_model() -> str:
@@ -89,6 +92,11 @@ class Pieces:
         score = np.array([self.scores[i] for i in self.long_ids])
         return np.unique(-score, return_inverse=True)[1].astype(np.int32)
 
+    @cached_property
+    def place(self) -> dict[str, tuple[int, int]]:
+        """Priority and row of each long piece."""
+        return {self.texts[i]: (int(p), r) for r, (i, p) in enumerate(zip(self.long_ids, self.priority))}
+
     @cached_property
     def units(self) -> re.Pattern:
         """Stretches that no piece reaches across: spaces begin one, and a character that is in no long piece is one."""
@@ -192,8 +200,64 @@ def edges(text: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.
     return start, pieces.matrix[1].astype(np.int32)[row], row
 
 
-def merge(text: np.ndarray, unit: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """BPE: in every unit, the best-scored edge that joins exactly two symbols, the leftmost of equals, until none is left."""
+def stretches(n: int, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Number of the stretch that each character is in; stretches end where no edge reaches across, so that nothing depends on what is beyond."""
+    across = np.bincount(start + 1, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
+    return np.cumsum(np.cumsum(across)[:n] == 0, dtype=np.int32)
+
+
+def merge_long(text: str, pieces: Pieces) -> tuple[list[int], list[int]]:
+    """The same merges of one long stretch, from a queue over linked symbols: starts of its symbols and their rows, -1 for a character."""
+    n, place = len(text), pieces.place
+    after, before, made = [*range(1, n), -1], [*range(-1, n - 1)], [-1] * n
+    end = [*range(1, n + 1)]
+    queue = [(*place[text[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if text[i : i + 2] in place]
+    queue = [(p, i, mid, stop, row) for p, row, i, mid, stop in queue]
+    heapq.heapify(queue)
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j >= 0 and (found := place.get(text[i : end[j]])):
+            heapq.heappush(queue, (found[0], i, j, end[j], found[1]))
+
+    while queue:
+        _, i, j, stop, row = heapq.heappop(queue)
+        # both symbols must still be there as they were
+        if end[i] != j or end[j] != stop:
+            continue
+        made[i], end[i], end[j] = row, stop, -1
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+        offer(before[i], i)
+        offer(i, k)
+    starts, i = [], 0
+    while i >= 0:
+        starts.append(i)
+        i = after[i]
+    return starts, [made[i] for i in starts]
+
+
+def merge(text: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """BPE: in every stretch, the best-scored edge that joins exactly two symbols, the leftmost of equals, until none is left."""
+    unit = stretches(len(text), start, length)
+    sizes = np.bincount(unit)
+    long = np.flatnonzero(sizes > LONG)
+    if len(long):
+        short = sizes[unit[start]] <= LONG
+        start, length, row = start[short], length[short], row[short]
+    starts, made = merge_short(text, unit, start, length, row, pieces)
+    begins = np.cumsum(sizes) - sizes
+    for u in long:
+        a, b = int(begins[u]), int(begins[u] + sizes[u])
+        at, rows = merge_long((text[a:b] - 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), pieces)
+        starts[a:b] = False
+        starts[np.array(at) + a] = True
+        made[np.array(at) + a] = rows
+    return starts, made
+
+
+def merge_short(text: np.ndarray, unit: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """All stretches together, round by round."""
     priority = pieces.priority[row]
     most = int(priority.max(initial=0)) + 1
     if most * (int(unit[-1]) + 1) * len(text) < 2**63 - 1:
@@ -256,6 +320,19 @@ def best_path(text: np.ndarray, first: np.ndarray, start: np.ndarray, length: np
     return starts, made
 
 
+def chunks(units: list[str], most: int):
+    """The units in order, in lists of about so many characters."""
+    out, held = [], 0
+    for u in units:
+        out.append(u)
+        held += len(u)
+        if held >= most:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 class Encoder:
     """Encodes batches of texts; units met before in the task are not matched again."""
 
@@ -268,6 +345,10 @@ class Encoder:
         self.flat, self.offsets = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def learn(self, units: list[str]) -> None:
+        for part in chunks(units, BATCH_CHARS):
+            self.learn_together(part)
+
+    def learn_together(self, units: list[str]) -> None:
         p = self.pieces
         joined = "\0".join(units) + "\0"
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
@@ -277,7 +358,7 @@ class Encoder:
         unit = np.repeat(np.arange(len(units), dtype=np.int32), sizes + 1)
         start, length, row = edges(text, p)
         if p.kind == "bpe":
-            starts, made = merge(text, unit, start, length, row, p)
+            starts, made = merge(text, start, length, row, p)
         else:
             starts, made = best_path(text, np.repeat(stops - sizes, sizes + 1), start, length, row, p)
         at = np.flatnonzero(starts[:-1] & (text != 0))
