@@ -1,5 +1,6 @@
 """Language, personal data, quality, near duplicates and mixing, on small tables."""
 
+import math
 import random
 from collections import Counter
 import re
@@ -102,21 +103,70 @@ def test_base_spans_are_the_patterns():
 def test_disclosing_terms(spark):
     rows = [(i, f"{a} wrote from Zanzibar to ann.lee@mail.example.com about {b}", "en", "s") for i, (a, b) in enumerate([("Yesterday someone", "things"), ("Today nobody", "matters"), ("Often they", "affairs"), ("Rarely we", "news")])]
     rows += [(100 + i, f"plain text number {i} about things and matters that wrote from nobody to someone", "en", "s") for i in range(60)]
-    rows += [(300, None, None, None), (301, "", None, None)] + [(400 + i, "copy of bob@mail.example.com with Unobtainium beside", "en", "s") for i in range(9)]
+    rows += [(300, None, None, None), (301, "", None, None), (302, "Zanzibar is far", None, None)] + [(400 + i, "copy of bob@mail.example.com with Unobtainium beside", "en", "s") for i in range(9)]
     df = docs(spark, rows)
     terms = {r["term"]: (r["disclosure"], r["action"]) for r in pii.disclosing_terms(df).collect()}
-    assert terms["zanzibar"] == (1.0, "remove")
+    n = len(rows)  # 4 rows have both, 5 the term, 4 the entity
+    assert terms["zanzibar"] == (pytest.approx(math.log2(4 * n / (5 * 4)) / math.log2(n / 4)), "generalise")
     assert "unobtainium" not in terms  # nine copies of one context
     assert "things" not in terms and "about" not in terms
     for bound in (1000, 0):  # both ways to bring the terms to the texts
         got = {r["doc_id"]: r for r in pii.annotate(df, pii.disclosing_terms(df, broadcast_terms=bound), broadcast_terms=bound).collect()}
-        assert "Zanzibar" not in got[0]["pii_text"] and "<EMAIL>" in got[0]["pii_text"] and "ann.lee" not in got[0]["pii_text"]
+        assert "Zanzibar" not in got[0]["pii_text"] and "from <NAME> to <EMAIL>" in got[0]["pii_text"] and "ann.lee" not in got[0]["pii_text"]
+        assert got[302]["pii_text"] == got[302]["text"]  # no entity there
         assert got[100]["pii_text"] == got[100]["text"] and got[100]["pii_spans"] == []
         assert got[300]["pii_text"] is None and got[301]["pii_text"] == ""
         assert [s["kind"] for s in got[0]["pii_spans"]] == ["term", "email"]
         assert got[0]["score"] == "mine"
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosure_against_brute_force(spark, seed):
+    """PMI as a share of the entity's content, and the test of chance, by sets of documents."""
+    rng = random.Random(seed)
+    names = [f"name{chr(97 + k)}" for k in range(6)]
+    rows = []
+    for i in range(300):
+        k = rng.randrange(12)
+        words = [prose(rng, "en", 6)] + ([f"reach ann{k}@mail.example.com", names[k]] if k < 6 and rng.random() < 0.9 else [rng.choice(names)] if rng.random() < 0.01 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "s"))
+    rows += [(1000 + i, rows[i][1], "en", "s") for i in range(40)]
+    texts = [t for _, t, *_ in rows]
+    entities = [{pii.entity(t, x) for x in pii.base_spans(t)} for t in texts]
+    words = []
+    for t in texts:
+        for s, e, _ in reversed(pii.base_spans(t)):
+            t = t[:s] + " " * (e - s) + t[e:]
+        words.append(set(pii.TERM.findall(t.lower())))
+    every = {e for x in entities for e in x}
+    near = {w for x, ws in zip(entities, words) if x for w in ws}
+    different, want = len(set(texts)), {}
+    for e in every:
+        of = {i for i, x in enumerate(entities) if e in x}
+        for w in near:
+            hold = {i for i, t in enumerate(texts) if w in set(pii.TERM.findall(t.lower()))}
+            both = {i for i in of if w in words[i]}
+            if not both:
+                continue
+            m = len({texts[i] for i in of})
+            k, q = len({texts[i] for i in both}) / m, min(1.0, len(hold) / different)
+            rest = (1 - k) * math.log((1 - k) / max(1 - q, 1e-300)) if k < 1 else 0.0
+            bound = (-m * (k * math.log(k / q) + rest) if k > q else 0.0) + math.log(len(every) * len(near))
+            share = math.log2(len(both) * len(texts) / (len(hold) * len(of))) / math.log2(len(texts) / len(of))
+            if bound <= math.log(pii.LEVEL) and share >= pii.GENERALISE:
+                want[w, e] = pytest.approx(share)
+    got = {(r["term"], r["entity"]): r["disclosure"] for r in pii.disclosing_terms(docs(spark, rows)).collect()}
+    assert want and got == want
+
+
+def test_annotate_drops_own_columns(spark):
+    df = docs(spark, [(1, "ann@mail.example.com", None, None)]).withColumn("_pii_terms", F.lit(1)).withColumn("pii_text", F.lit("x"))
+    for bound in (1000, 0):
+        (r,) = pii.annotate(df, spark.createDataFrame([("w", 1, 1.0, "remove")], "term string, entity long, disclosure double, action string"), broadcast_terms=bound).collect()
+        assert r["pii_text"] == "<EMAIL>" and "_pii_terms" not in r
+
+
 def test_disclosing_terms_far_from_the_mention(spark):
     """A name in every document of an entity counts wherever it stands; one meeting proves nothing."""
     rng = random.Random(3)

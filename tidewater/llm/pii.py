@@ -27,7 +27,11 @@ LEVEL = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 #: So many terms go to every task as a set; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
-PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
+PLACEHOLDER = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
+#: What a term is generalised to, by whether it begins with a capital.
+GENERAL = {True: "<NAME>", False: "<WORD>"}
+#: Parts that the terms of one text are copied to where they come by a shuffle, so that a text that repeats often is not one key.
+SALTS = 32
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -150,12 +154,12 @@ def disclosing_terms(
     docs: DataFrame, text_col: str = "text", level: float = LEVEL, generalise: float = GENERALISE,
     remove: float = REMOVE, broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
-    """Terms that give an entity away: (term, disclosure, action).
+    """Terms that give an entity away: (term, entity, disclosure, action).
 
     Over all documents: PMI(term; entity) = log2(n(term, entity) * N / (n(term) * n(entity))), as a share of the entity's
-    information content log2(N / n(entity)). 1 means that the term occurs with the entity only. A term's disclosure is the
-    largest over the entities it meets in significantly many different texts: Hoeffding's bound of the hypergeometric tail,
-    times the number of pairs of an entity and a term, is ``level`` at most.
+    information content log2(N / n(entity)). 1 means that the term occurs with the entity only. Pairs count whose term and entity meet
+    in significantly many different texts: Hoeffding's bound of the hypergeometric tail, times the number of pairs of an entity and a
+    term, is ``level`` at most. Null and empty texts only count among all documents; an empty table gives no terms.
     """
     seen = contexts(docs, text_col).groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("together"), F.count_distinct("context").alias("support")
@@ -163,7 +167,7 @@ def disclosing_terms(
     spark = docs.sparkSession
     seen = materialise(seen, "pii-contexts")
     pairs = seen.where("term is not null")
-    none = spark.createDataFrame([], "term string, disclosure double, action string")
+    none = spark.createDataFrame([], "term string, entity long, disclosure double, action string")
     entities, terms = seen.agg(F.count_distinct("entity"), F.count_distinct("term")).first()
     if not terms:
         return none
@@ -186,8 +190,7 @@ def disclosing_terms(
     shared = F.log2(F.col("together") * F.lit(total) / (F.col("n") * F.col("of_entity")))
     found = (
         pairs.join(of_term, "term").where(chance(F.col("n")) <= F.log(F.lit(level)))
-        .select("term", F.when(content > 0, shared / content).otherwise(0.0).alias("share"))
-        .groupBy("term").agg(F.max("share").alias("disclosure"))
+        .select("term", "entity", F.when(content > 0, shared / content).otherwise(0.0).alias("disclosure"))
         .where(F.col("disclosure") >= generalise)
     )
     return materialise(
@@ -198,39 +201,59 @@ def disclosing_terms(
 def annotate(docs: DataFrame, terms: DataFrame, text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Adds pii_spans (kind, start, end, action; code points, end exclusive) and pii_text, the sanitised text.
 
-    Base spans are replaced by their kind's placeholder, terms by a placeholder or by nothing. Null text: no spans, null
+    Base spans are replaced by their kind's placeholder. Of the terms, those that give away an entity of the same text are generalised to
+    the class of their word or removed; a text without an entity stays as it is. Null text: no spans, null
     pii_text. Where spans overlap, the first (by start, then kind) is replaced up to the end of the last.
-    Repeated rows: each is annotated. Empty tables: empty result.
+    Repeated rows: each is annotated. Empty tables: empty result. Columns named pii_spans, pii_text are replaced, those whose names begin
+    with ``_pii_`` are dropped.
     """
-    docs = docs.drop("pii_spans", "pii_text")
+    docs = docs.drop("pii_spans", "pii_text", *(c for c in docs.columns if c.startswith("_pii_")))
     schema = extended(docs, "pii_spans array<struct<kind:string,start:int,end:int,action:string>>, pii_text string")
-    rows = terms.select("term", "action").limit(broadcast_terms + 1).collect()
-    known = {r["term"]: r["action"] for r in rows} if len(rows) <= broadcast_terms else None
-    if known is None:
-        keyed = docs.withColumn("_pii_key", F.xxhash64(text_col))
+    rows = terms.select("term", "entity", "action").limit(broadcast_terms + 1).collect()
+    known: dict[str, dict[int, str]] | None = None
+    if len(rows) <= broadcast_terms:
+        known = {}
+        for r in rows:
+            known.setdefault(r["term"], {})[r["entity"]] = r["action"]
+        source = docs
+    else:
+        keyed = docs.withColumn("_pii_key", F.xxhash64(text_col)).withColumn("_pii_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
 
         def words(batches):
             for pdf in batches:
-                out = [(k, w) for k, t in zip(pdf["_pii_key"], pdf[text_col]) if t for w in set(TERM.findall(t.lower()))]
-                yield pd.DataFrame(out, columns=["_pii_key", "term"])
+                out = []
+                for k, t in zip(pdf["_pii_key"], pdf[text_col]):
+                    entities = {entity(t, span) for span in base_spans(t)}
+                    out += [(k, e, w) for w in set(TERM.findall(t.lower())) for e in entities] if entities else []
+                yield pd.DataFrame(out, columns=["_pii_key", "entity", "term"])
 
         held = (
-            map_batches(keyed.select("_pii_key", text_col), words, "_pii_key long, term string").distinct()
-            .join(terms, "term").groupBy("_pii_key")
-            .agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_pii_terms"))
+            map_batches(keyed.select("_pii_key", text_col), words, "_pii_key long, entity long, term string").distinct()
+            .join(terms, ["term", "entity"]).groupBy("_pii_key", "term").agg(F.max("action").alias("action"))
+            .groupBy("_pii_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_pii_terms"))
+            .withColumn("_pii_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         )
-        source = keyed.join(held, "_pii_key", "left").drop("_pii_key")
-    else:
-        source = docs
+        source = keyed.join(held, ["_pii_key", "_pii_salt"], "left").drop("_pii_key", "_pii_salt")
+
+    def of_text(text: str, spans: list) -> dict[str, str]:
+        """Action for each disclosing term of a text; the stronger one, if it discloses several entities."""
+        entities = {entity(text, span) for span in spans}
+        out = {}
+        for word in known.keys() & set(TERM.findall(text.lower())):
+            actions = [known[word][e] for e in entities & known[word].keys()]
+            if actions:
+                out[word] = max(actions)  # remove is after generalise
+        return out
 
     def run(batches):
         for pdf in batches:
-            per = pdf["_pii_terms"] if known is None else [known] * len(pdf)
+            per = pdf["_pii_terms"] if known is None else [None] * len(pdf)
             spans, texts = [], []
             for text, actions in zip(pdf[text_col], per):
-                found = [(s, e, k, "generalise") for s, e, k in base_spans(text)]
-                if text and actions is not None and len(actions):
-                    actions = dict(actions)
+                base = base_spans(text)
+                found = [(s, e, k, "generalise") for s, e, k in base]
+                if base:
+                    actions = of_text(text, base) if known is not None else dict(actions) if actions is not None else {}
                     found += [(m.start(), m.end(), 4, actions[w]) for m in TERM.finditer(text) if (w := m.group().lower()) in actions]
                     found.sort(key=lambda x: (x[0], x[2]))
                 spans.append([(KINDS[k], s, e, a) for s, e, k, a in found])
@@ -248,7 +271,8 @@ def sanitised(text: str | None, found: list[tuple[int, int, int, str]]) -> str |
     out, at = [], 0
     for start, end, kind, action in found:
         if start >= at:
-            out += [text[at:start], "" if action == "remove" else PLACEHOLDER[KINDS[kind]]]
+            general = PLACEHOLDER.get(KINDS[kind]) or GENERAL[text[start].isupper()]
+            out += [text[at:start], "" if action == "remove" else general]
         at = max(at, end)
     return "".join([*out, text[at:]])
 
