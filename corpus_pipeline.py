@@ -1,6 +1,9 @@
 """From raw documents to encoded training text, stage by stage.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+
+Null and empty texts are scored like any other by the classifier; null texts are no copies of one another, empty ones are. Null ids are
+kept, repeated rows are copies. An empty table passes through as an empty one. Columns of docs beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -21,9 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    gone = materialise(neardup.near_duplicates(docs).where("not kept").select("doc_id"), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest id, also where ids are null or repeat."""
+    return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text; the text goes, since the ids decode to it."""
-    return pieces.encoded(docs, check=False).select("doc_id", "lang", "source", "n_chars", "n_pieces", "piece_ids")
+    """Piece ids of every text, and whether they decode to it again; the text goes."""
+    return pieces.encoded(docs).select("doc_id", "lang", "source", "n_chars", "n_pieces", "piece_ids", "round_trip")
 
 
 STAGES = [
@@ -50,7 +52,7 @@ STAGES = [
     ("pieces", encode),
 ]
 
-#: Trained and sketched stages have no SQL; tests hold each against a brute-force version.
+#: Trained and sketched stages have no SQL; tests hold each stage against a plain version of what it should do.
 ORACLE_SQL = None
 
 
