@@ -107,12 +107,13 @@ def any_(x, over: WindowSpec | None = None) -> Column:
 
 
 def first(x, order, over: WindowSpec | None = None) -> Column:
-    """Value of the first row by the order, also where it is NULL."""
-    return _o(F.min_by(F.struct(_c(x).alias("v")), _place(order)), over)["v"]
+    """Value of the first row by the order, also where it is NULL. With one number or time as the order and a value of fixed width it is
+    aggregated by hash, without a sort."""
+    return _o(F.min_by(_c(x), _place(order)), over)
 
 
 def last(x, order, over: WindowSpec | None = None) -> Column:
-    return _o(F.max_by(F.struct(_c(x).alias("v")), _place(order)), over)["v"]
+    return _o(F.max_by(_c(x), _place(order)), over)
 
 
 def argmin(x, order, over: WindowSpec | None = None) -> Column:
@@ -121,7 +122,10 @@ def argmin(x, order, over: WindowSpec | None = None) -> Column:
 
 
 def argmax(x, order, over: WindowSpec | None = None) -> Column:
-    return _o(F.min_by(_place(order), F.when(_c(x).isNotNull(), F.struct(-_c(x), _place(order)))), over)
+    """Place of the largest value of any type, the first of equals. ``order``: integer columns."""
+    by = [order] if isinstance(order, (str, Column)) else list(order)
+    early = [F.bitwise_not(_c(o)) for o in by]
+    return _o(F.max_by(_place(order), F.when(_c(x).isNotNull(), F.struct(_c(x), *early))), over)
 
 
 def dot(x, y, over: WindowSpec | None = None) -> Column:

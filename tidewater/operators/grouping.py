@@ -22,10 +22,9 @@ def qby(df: DataFrame, by: str | Sequence[str], items: Mapping[str, Column]) ->
 def last_by(df: DataFrame, by: str | Sequence[str], order: str | Sequence[str]) -> KeyedTable:
     """The last row of each group."""
     by = _names(by)
-    rest = [c for c in df.columns if c not in by]
-    at = F.struct(*_names(order))
-    picked = df.groupBy(*by).agg(F.max_by(F.struct(*rest), at).alias("_row"))
-    return KeyedTable(picked.select(*by, "_row.*"), tuple(by))
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.col(c).desc_nulls_last() for c in _names(order))))
+    picked = df.withColumn("_at", at).where("_at = 1")
+    return KeyedTable(picked.select(*by, *(c for c in df.columns if c not in by)), tuple(by))
 
 
 def group(df: DataFrame, column: str, place: str) -> DataFrame:
@@ -57,11 +56,16 @@ def fby(aggregate: Callable[..., Column], x: str, by: str | Sequence[str]) -> Co
     return aggregate(F.col(x), over=Window.partitionBy(*_names(by)))
 
 
-def scatter(df: DataFrame, place: str, updates: DataFrame, at: str, value: str, column: str) -> DataFrame:
-    """Add values to the rows at the given places; a place may come often. Updates are summed before the join."""
-    summed = updates.groupBy(F.col(at).alias("_at")).agg(F.sum(value).alias("_add"))
+def scatter(df: DataFrame, place: str, updates: DataFrame, at: str, value: str, column: str, how: str = "add") -> DataFrame:
+    """Amend the rows at the given places by values: add them, or take the min or max of what is there and of them. A place may come often;
+    updates are aggregated before the join. Rows without an update stay as they are."""
+    made = {"add": F.sum, "min": F.min, "max": F.max}
+    if how not in made:
+        raise ValueError(f"unknown way to amend {how!r}")
+    summed = updates.groupBy(F.col(at).alias("_at")).agg(made[how](value).alias("_new"))
     joined = df.join(summed, df[place] == summed["_at"], "left")
-    return joined.select(*((F.col(c) + F.coalesce("_add", F.lit(0))).alias(c) if c == column else df[c] for c in df.columns))
+    new = {"add": F.col(column) + F.coalesce("_new", F.lit(0)), "min": F.least(column, "_new"), "max": F.greatest(column, "_new")}[how]
+    return joined.select(*(new.alias(c) if c == column else df[c] for c in df.columns))
 
 
 def bysym(df: DataFrame, sym: str) -> DataFrame:

@@ -14,9 +14,9 @@ def first_rows(kt: KeyedTable, order: Sequence[str] = ()) -> DataFrame:
     """One row for each key: the first by the order, or any if none is given (for keys known to be unique)."""
     if not order:
         return kt.df.dropDuplicates(list(kt.key))
-    rest = [c for c in kt.df.columns if c not in kt.key]
-    picked = kt.df.groupBy(*kt.key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return picked.select(*kt.key, "_row.*")
+    # the limit of one row a key is applied before the shuffle as well
+    at = F.row_number().over(Window.partitionBy(*kt.key).orderBy(*order))
+    return kt.df.withColumn("_at", at).where("_at = 1").drop("_at")
 
 
 def _joined(t: DataFrame, kt: KeyedTable, order: Sequence[str], how: str, drop_order: bool = True) -> tuple[DataFrame, list[str]]:
@@ -79,9 +79,10 @@ def aj(
     with NULL if there is no such row. ``keep_time`` takes y's time into the result (aj0).
 
     Both tables are put together and the last row of y is carried along a window, so that one shuffle by key and one sort that
-    can spill do it. A key with very many rows, or no key at all, would be one task: ``slice_width`` (in units of the time, seconds for
+    can spill do it. A key with very many rows would be one task: ``slice_width`` (in units of the time, seconds for
     timestamps) cuts it into slices of time, each carried along on its own; the last row of y in each slice, one row a slice, is then carried
-    over to the following slices.
+    over to the following slices. Without keys, the span of x's times is always cut, into as many slices as there are shuffle partitions
+    if no width is given; the rows of slice ends are then as few.
     """
     *keys, time = on
     values = [c for c in y.columns if c not in on]
@@ -92,6 +93,9 @@ def aj(
     right = y.where(F.col(time).isNotNull()).select(*(F.col(k) for k in keys), F.col(time).alias("_time"), F.lit(0).alias("_side"), place.alias("_place"), F.lit(None).cast(left.schema["_x"].dataType).alias("_x"), kept.alias("_y"))
     both = left.unionByName(right)
     by = list(keys)
+    if not keys and slice_width is None:
+        low, high = x.agg(F.min(clock(F.col(time))).cast("double"), F.max(clock(F.col(time))).cast("double")).first()
+        slice_width = ((high - low) / int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")) if low is not None else 0) or 1.0
     if slice_width is not None:
         both = both.withColumn("_slice", F.floor(clock(F.col("_time")) / slice_width))
         by.append("_slice")
@@ -139,14 +143,14 @@ def asof(df: DataFrame, at: Mapping[str, object], time: str, order: Sequence[str
 
 def wj(
     begin: Column, end: Column, on: Sequence[str], t: DataFrame, q: DataFrame, aggregates: Mapping[str, tuple[str, str | None]],
-    row: Sequence[str], slice_width: float,
+    row: Sequence[str], slice_width: float, order: Sequence[str] = (),
 ) -> DataFrame:
     """Window join: for each row of t, aggregates of the rows of q with equal keys and a time in [begin, end].
 
     ``on``: keys, then the time. ``aggregates``: name -> (function, column of q), with count, sum, avg, min, max, first, last. Empty windows stay:
     count and sum are 0, the others NULL. ``row`` identifies a row of t. The join is by key and slice of time of the given width,
     each row of t going to the slices that its window touches, so that the slices of a hot key are different tasks; first
-    and last go by time.
+    and last go by time, then by ``order``, columns of q.
     """
     *keys, time = on
     known = {"count", "sum", "avg", "min", "max", "first", "last"}
@@ -157,14 +161,15 @@ def wj(
     bounds = t.select(*row, *keys, begin.alias("_b"), end.alias("_e"))
     lo, hi = F.floor(clock(F.col("_b")) / slice_width), F.floor(clock(F.col("_e")) / slice_width)
     touched = bounds.where("_b <= _e").withColumn("_slice", F.explode(F.sequence(lo, hi)))
-    used = sorted({c for _, c in aggregates.values() if c})
+    used = sorted({c for _, c in aggregates.values() if c} | set(order))
+    place = F.struct("_t", *(f"_c_{c}" for c in order)) if order else F.col("_t")
     side = q.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(time).alias("_t"), F.floor(clock(F.col(time)) / slice_width).alias("_s"), *(F.col(c).alias(f"_c_{c}") for c in used))
     cond = (F.col("_slice") == F.col("_s")) & (F.col("_t") >= F.col("_b")) & (F.col("_t") <= F.col("_e"))
     for i, k in enumerate(keys):
         cond &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     made = {
         "count": lambda c: F.count(F.lit(1)), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max,
-        "first": lambda c: F.min_by(c, "_t"), "last": lambda c: F.max_by(c, "_t"),
+        "first": lambda c: F.min_by(c, place), "last": lambda c: F.max_by(c, place),
     }
     found = touched.join(side, cond).groupBy(*(F.col(r).alias(f"_r{i}") for i, r in enumerate(row))).agg(
         *(made[f](F.col(f"_c_{c}") if c else F.lit(1)).alias(f"_a_{name}") for name, (f, c) in aggregates.items())

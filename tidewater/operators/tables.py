@@ -132,9 +132,22 @@ def append_by_name(df: DataFrame, more: DataFrame) -> DataFrame:
     return df.unionByName(more)
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_at") -> DataFrame:
+    """Rows with their place in the order, from 0. Ranges of the order are sorted one by one; only their sizes, a row for each range, come together,
+    so that no task holds the table. Rows that the order does not tell apart are numbered in any way."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = parts.withColumn("_range", F.spark_partition_id())
+    within = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
+    sizes = within.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col("_range").alias("_r"), before.alias("_start"))
+    joined = within.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # a row for each range
+    return joined.select(*(df[c] for c in df.columns), (F.col("_start") + F.col("_place")).alias(name))
+
+
 def atr(df: DataFrame, places: DataFrame, order: Sequence[str], place: str = "i") -> DataFrame:
     """Rows by place, from 0 in the order; a place out of range gives a row of NULLs. ``places`` is kept in front."""
-    at = df.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
+    at = numbered(df, order)
     return places.join(at, F.col(place) == F.col("_at"), "left").drop("_at")
 
 
@@ -173,7 +186,7 @@ def take(n: int, df: DataFrame, order: Sequence[str]) -> DataFrame:
     size = df.count()
     if not size or abs(n) <= size:
         return sublist(n, df, order)
-    at = df.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1)
+    at = numbered(df, order)
     start = 0 if n >= 0 else n % size
     shifted = F.pmod(F.col("_at") - start, F.lit(size))
     times = F.floor((F.lit(abs(n)) - shifted - 1) / size) + 1
@@ -192,9 +205,15 @@ def topk(k: int, by: str, df: DataFrame, order: Sequence[str] = ()) -> DataFrame
 
 
 def is_sorted(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row: whether the rows in ``order`` are sorted by the columns."""
-    now, before = F.struct(*by), F.lag(F.struct(*by)).over(Window.orderBy(*order))
-    return df.select(F.coalesce(before <= now, F.lit(True)).alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("sorted"))
+    """One row: whether the rows in ``order`` are sorted by the columns. Ranges of the order are looked at one by one, then their ends."""
+    parts = df.select(F.struct(*by).alias("_v"), F.struct(*order).alias("_o")).repartitionByRange("_o").withColumn("_range", F.spark_partition_id())
+    before = F.lag("_v").over(Window.partitionBy("_range").orderBy("_o"))
+    inside = parts.withColumn("_ok", F.coalesce(before <= F.col("_v"), F.lit(True))).groupBy("_range").agg(
+        F.bool_and("_ok").alias("_ok"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    # if a range is sorted, its first and last rows have its least and its largest values; a row for each range comes together here
+    across = F.coalesce(F.lag("_high").over(Window.orderBy("_range")) <= F.col("_low"), F.lit(True))
+    return inside.select((F.col("_ok") & across).alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("sorted"))
 
 
 # ---- sets -----------------------------------------------------------------------------------------------------------------

@@ -275,10 +275,11 @@ class Lowering:
         _, c = self.aggregated(node, f)
         if not self.scope.order:
             raise QueryError("the table has no order, which first and last need")
-        place = F.struct(*self.scope.order)
+        # one column as it is, so that values of fixed width are aggregated by hash
+        place = F.col(self.scope.order[0]) if len(self.scope.order) == 1 else F.struct(*self.scope.order)
         place = place if self.scope.mask is None else F.when(self.scope.mask, place)
-        made = (F.min_by if f == "first" else F.max_by)(F.struct(c.alias("v")), place)
-        return Value(self.scope.aggregate(lambda over: made if over is None else made.over(over))["v"], "vector" if self.scope.spread else "aggregate")
+        made = (F.min_by if f == "first" else F.max_by)(c, place)
+        return Value(self.scope.aggregate(lambda over: made if over is None else made.over(over)), "vector" if self.scope.spread else "aggregate")
 
     def monad(self, node: Monad) -> Value:
         verb = node.verb

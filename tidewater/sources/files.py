@@ -100,11 +100,26 @@ def dload(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def partsave(path: str, df: DataFrame, by: str) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: that of the checkpoints, or on one machine the warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def partsave(path: str, df: DataFrame, by: str, tasks: int = 8, rows_a_file: int = 0) -> None:
     """A folder for each value of a column. Rows are first dealt by that column together with a hash, so that a frequent value
-    is written by several tasks and a rare one makes few files."""
-    deal = F.pmod(F.xxhash64(*(F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType))), F.lit(8))
-    df.repartition(F.col(by), deal).write.mode("overwrite").partitionBy(by).parquet(path)
+    is written by so many ``tasks`` and a rare one makes few files; ``rows_a_file`` bounds a file, 0 does not."""
+    deal = F.pmod(F.xxhash64(*(F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType))), F.lit(tasks))
+    df.repartition(F.col(by), deal).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).partitionBy(by).parquet(path)
 
 
 def partload(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:

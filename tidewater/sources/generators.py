@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.math import black_scholes, round_half_up
 
-#: Symbols with first price, daily volatility, quoted half spread in basis points and share of the volume.
-UNIVERSE = [
-    ("AAA", 187.5, 0.018, 1.0, 0.20), ("BBB", 410.2, 0.016, 1.0, 0.16), ("CCC", 138.9, 0.022, 1.5, 0.14), ("DDD", 72.4, 0.030, 2.0, 0.12),
-    ("EEE", 951.0, 0.028, 1.5, 0.10), ("FFF", 33.1, 0.035, 4.0, 0.08), ("GGG", 255.7, 0.020, 2.0, 0.07), ("HHH", 61.8, 0.024, 3.0, 0.06),
-    ("III", 118.3, 0.019, 2.5, 0.04), ("JJJ", 15.6, 0.045, 8.0, 0.03),
-]
+#: Symbols with first price, daily volatility, quoted half spread in basis points and share of the volume, made by a rule: the dearer a symbol, the
+#: calmer, narrower and less traded it is.
+UNIVERSE = [(3 * chr(65 + k), round(12.0 * 1.5**k, 2), round(0.05 - 0.003 * k, 3), round(9.0 / (1 + k), 2), (10 - k) / 55) for k in range(10)]
 OPEN, SESSION = 34_200_000, 23_400_000
-TENORS = [7, 14, 21, 30, 45, 60, 90, 120, 180, 365]
+#: Days to expiry: one week, doubled again and again.
+TENORS = [7 * 2**k for k in range(7)]
 
 
 def _universe(spark: SparkSession) -> DataFrame:

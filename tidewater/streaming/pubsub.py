@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidewater.sources.files import delete_at_exit, shared_folder
+
 
 @dataclass
 class Stream:
@@ -96,17 +98,26 @@ def sessions(df: DataFrame, time: str, gap: str, by: list[str], aggregates: dict
 
 
 def drain(df: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming DataFrame over all that is there now and give the result table. Results of windows are small; they are kept in memory."""
-    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    q = writer.start()
+    """Run a streaming DataFrame over all that is there now and give the result table. Results are written by the executors into the shared folder, a
+    part for each micro-batch that a repeated batch replaces; in complete mode the last part is the result, else all are."""
+    spark = df.sparkSession
+    out = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    delete_at_exit(spark, out)
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/{number}")
+        done.append(number)
+
+    q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint or f"{out}/log").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    wanted = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(df.schema).parquet(*(f"{out}/rows/{n}" for n in wanted))
 
 
 def each_batch(df: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
