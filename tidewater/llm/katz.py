@@ -6,7 +6,8 @@ n-grams that it has asked for. So every token is evaluated beside its block, whi
 moved is pre-aggregated. One exchange each: words; pairs of words; mass of one-word contexts; trigrams with the mass of two-word contexts.
 
 The mass of a context is carried as whole numbers, from which each block computes the same weights. From the first answers on, a word is a number, and a pair of words is the pair of their numbers, scrambled by a bijection, so that no two n-grams ever
-share a key. A two-word context that only one block holds is settled there and not sent at all. A context of more than ``HOT`` tokens is
+share a key. A two-word context that only one block holds is settled there and not sent at all, and a block gets the mass only of the contexts that it has
+to back off from, which a learned trigram never does. A context of more than ``HOT`` tokens is
 dealt to several ranges by the word that follows.
 """
 
@@ -150,7 +151,9 @@ def discounts(counts_of_counts: list[float]) -> np.ndarray:
     for r in range(1, TOP + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - shift) / (1 - shift) if n[r] and shift < 1 else -1.0
         out[r] = d if 0 < d < 1 else (r - 0.5) / r
-    return np.rint(out * STEP) / STEP
+    # below 1, so that what is discounted leaves a share
+    out[1 : TOP + 1] = np.minimum(np.rint(out[1 : TOP + 1] * STEP), STEP - 1) / STEP
+    return out
 
 
 def few(counts: np.ndarray) -> np.ndarray:
@@ -269,14 +272,15 @@ class State:
         bigrams, words, _, _ = answers("m1", (TOP + 1, TOP + 1, 0))
         self.divisor1, alpha = weights(self.word_counts(), self.model.kept(2, bigrams), self.model.kept(1, words) / self.model.divisor)
         self.p2 = np.where(self.c2 > 0, self.model.discounted(2, self.c2) / self.divisor1[self.before], alpha[self.before] * self.p1)
-        # trigrams that may be known, by context and word; a context that is asked about without such has a word that does not exist
+        # trigrams that may be known, by context and word; a context whose mass is asked for has a word that does not exist besides
         self.asks3 = np.flatnonzero((self.count2 > 0) & (self.c2 > 0))
         bits = np.uint64(self.model.bits)
         self.none = np.uint64(2**self.model.bits - 1)
         real = (self.context[self.asks3].astype(np.uint64) << bits) | self.w[self.asks3]
-        wanted = np.zeros(len(self.two), dtype=bool)
-        wanted[self.context] = True
-        wanted = np.flatnonzero(wanted & (self.two > 0))
+        used, wanted = (np.zeros(len(self.two), dtype=bool) for _ in range(2))
+        used[self.context] = True
+        wanted[self.context[(self.learn == 0) & ~self.lead]] = True
+        wanted = np.flatnonzero((self.two > 0) & (wanted | (used & ~self.alone & (self.two > HOT))))
         keys, _, which = distinct(np.concatenate((real, (wanted.astype(np.uint64) << bits) | self.none)))
         self.in3 = which[: len(real)]
         self.ctx3, self.w3 = (keys >> bits).astype(np.int64), keys & self.none
@@ -312,18 +316,24 @@ class State:
         c3, n = self.own3.copy(), len(self.two)
         at = np.flatnonzero(self.here & (self.own3 > 0))
         followers, bigrams = tallied(self.ctx3[at], self.own3[at], n), tallied(self.ctx3[at], self.two3[at], n)
+        # where no count is small enough to be discounted
+        bare = followers[:TOP].sum(axis=0) == 0
         plain = np.flatnonzero(~self.here & ~self.hot)
-        asked = np.unique(self.ctx3[plain])
-        heights = (0, TOP + 1, TOP + 1)
-        c3[plain], followers[:, asked], bigrams[:, asked], _ = answers("c3", heights)
+        asked, massed = np.unique(self.ctx3[plain]), self.ctx3[plain[self.w3[plain] == self.none]]
+        heights = (0, 0, 2 * (TOP + 1))
+        c3[plain], bare[asked], tables, _ = answers("c3", heights)
+        followers[:, massed], bigrams[:, massed] = tables[: TOP + 1], tables[TOP + 1 :]
         for c, kind, name, at in self.dealt():
-            c3[at], more, below, _ = answers(kind, heights, name)
-            followers[:, c] += more[:, 0]
-            bigrams[:, c] += below[:, 0]
+            c3[at], flag, tables, _ = answers(kind, heights, name)
+            bare[c] &= flag[0] > 0
+            followers[:, c] += tables[: TOP + 1, 0]
+            bigrams[:, c] += tables[TOP + 1 :, 0]
         # the second word of each context
         word = self.word[np.minimum(self.at2, len(self.word) - 1)]
         word[self.start] = self.begin
-        divisor, alpha = weights(self.two, self.model.kept(3, followers), self.model.kept(2, bigrams) / self.divisor1[word])
+        divisor = np.maximum(self.two + bare, 1)
+        left = 1 - self.model.kept(3, followers) / divisor
+        alpha = np.where(self.two > 0, left / np.maximum(1 - self.model.kept(2, bigrams) / self.divisor1[word], 1e-300), 1.0)
         known = np.zeros(len(self.word))
         known[self.asks3] = c3[self.in3]
         return np.where(known > 0, self.model.discounted(3, known) / divisor[self.context], alpha[self.context] * self.p2)
@@ -370,16 +380,17 @@ def added(kind: str, keys: list[np.ndarray], first: list[np.ndarray], second: li
     two[which[count2 > 0]] = count2[count2 > 0]  # the same from every block
     contexts, _, of = distinct(every >> np.uint64(bits))
     followers, bigrams = tallied(of, total, len(contexts)), tallied(of, two, len(contexts))
+    tables, bare = np.concatenate([followers, bigrams]), followers[:TOP].sum(axis=0) == 0
+    none = np.uint64(2**bits - 1)
+    massed = (every & none) == none
     out = []
     for p in parts:
-        c = np.unique(of[p])
-        out.append((packed_values(total[p]), *(packed_values(x[:, c].ravel()) for x in (followers, bigrams))))
+        out.append((packed_values(total[p]), packed_values(bare[np.unique(of[p])]), packed_values(tables[:, of[p[massed[p]]]].ravel())))
     return out, [*few(total), 0.0]
 
 
-def summed(rows: DataFrame, bits: int, before: DataFrame | None = None, last: bool = False) -> DataFrame:
-    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1. With the answers before, or just these if
-    they are the last, which are read once and so not laid out by block."""
+def summed(rows: DataFrame, bits: int, before: DataFrame | None = None) -> DataFrame:
+    """Add up each range over all blocks and answer each of them; and a row of statistics with block -1. With the answers before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kind, r = pdf["kind"].iloc[0], int(pdf["range"].iloc[0])
@@ -395,8 +406,6 @@ def summed(rows: DataFrame, bits: int, before: DataFrame | None = None, last: bo
         return pd.DataFrame(out, columns=ANSWER_COLUMNS)
 
     answers = ready(rows).groupBy("kind", "range").applyInPandas(run, ANSWERS)
-    if last:
-        return materialise(answers, "katz_answers")
     # laid out like the blocks, so that no later pass shuffles either
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return materialise(answers.repartition(parts, "block"), "katz_answers", by="block", into=before)
@@ -492,8 +501,8 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         s.bigrams(of)
         return pd.DataFrame(list(s.asks()), columns=ROW_COLUMNS)
 
-    answers3 = summed(beside(answers, trigrams, ROWS), model2.bits, last=True)
-    stats |= {k: v for k, v in statistics(answers3).items() if k == "c3"}
+    answers = summed(beside(answers, trigrams, ROWS), model2.bits, answers)
+    stats |= {k: v for k, v in statistics(answers).items() if k == "c3"}
     model3 = Model(stats, documents, ranges)
 
     def last(s: State, of) -> pd.DataFrame:
@@ -509,8 +518,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             "n_known": add((scored & (s.c1 > 0)).astype(np.int64)), "base_score": add(base), "score": add(each),
         })
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = beside(answers.unionByName(answers3.repartition(parts, "block")), last, "uid long, id long, n_tokens long, n_known long, base_score double, score double")
+    found = beside(answers, last, "uid long, id long, n_tokens long, n_known long, base_score double, score double")
     return found.groupBy("uid").agg(
         F.first("id").alias(id_col), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")), F.lit(int(model3.total)).cast("long").alias("train_tokens"),
         *(F.sum(c).alias(c) for c in ("base_score", "score")),
