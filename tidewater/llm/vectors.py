@@ -23,8 +23,8 @@ BLOCK, SMALL = 1024, 32
 #: Index rows of a block of work, regions that these blocks are taken from at most, and queries compared at once.
 INDEX_BLOCK, HOMES, QUERY_CHUNK = 4096, 256, 128
 #: Trees, rows they are grown from at most, rows wanted in a leaf, and share of all vectors that a query looks at. On vectors without any
-#: structure the nearest ones are spread over so many leaves that no much smaller share reaches a recall of 0.9.
-TREES, FOREST_SAMPLE, LEAF_ROWS, SHARE = 12, 20_000, 128, 0.6
+#: structure the nearest ones are spread over so many leaves that no much smaller share reaches a recall of 0.9 in tables of hundreds of rows.
+TREES, FOREST_SAMPLE, LEAF_ROWS, SHARE = 12, 20_000, 32, 0.72
 
 
 def usable(vector: Column) -> Column:
