@@ -102,9 +102,11 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], run: Callable
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. Only where the session names none (tests), a temporary one."""
+    """The folder that every executor sees. Only where the session names none, and all run on this machine (tests), a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewater-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
