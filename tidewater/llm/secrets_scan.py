@@ -8,29 +8,41 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm.common import map_batches, table
 
 SHORTEST = 16
-SHORTEST_ASSIGNED = 8
+SHORTEST_ASSIGNED = 6
 BESIDE = 60
+#: A word of the dictionary stands in this share of the documents, and in so many at least: a document of w words names at most w, so
+#: the dictionary has at most (mean words a document) / WORD_SHARE words, however many documents there are.
+WORD_SHARE, WORD_LEAST = 1e-3, 5
 THRESHOLD = 0.5
 TREES, DEPTH, LABELLED = 60, 10, 6000
 ASSIGN = re.compile(r"[=:]")
 NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"']?[ \t]*\Z")
-VALUE = re.compile(r"[ \t]*(?:[\"']([^\s\"'<>]*)[\"']|([^\s\"'<>,;|#$%&*!]*))")
+#: A quoted value goes to the same quote on its line; any other to white space, a quote, or a mark before the next assignment.
+VALUE = re.compile(r"[ \t]*(?:\"([^\"\n]*)\"|'([^'\n]*)'|((?:(?![&,;|][A-Za-z_][A-Za-z0-9_.-]*[=:])[^\s\"'])*))")
+#: Marks that end a phrase and are no part of an unquoted value before them; of other marks only a repeated one is taken off.
+TAIL = ",;|.:)]}"
+TEST_PATH = re.compile(r"test|spec|example|sample|fixture|mock|docs?\b|readme|tutorial", re.IGNORECASE)
+CONFIG_PATH = re.compile(r"\.env|conf|settings|credential|secret|\.ya?ml|\.ini|\.toml|\.properties|\.tfvars", re.IGNORECASE)
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 SECRET_NAME = re.compile(r"pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential", re.IGNORECASE)
 BENIGN_NAME = re.compile(r"commit|sha\d*|md5|checksum|digest|hash|uuid|guid|version|revision|etag|image|img|src|href|url|path|file|example|build|trace|session_start|id\Z", re.IGNORECASE)
 PLACEHOLDER = re.compile(r"your|example|placeholder|changeme|xxx|\*\*\*|<.*>|dummy|sample|todo|\$\{", re.IGNORECASE)
+#: Calls, lookups and members, as programs have them in place of a value.
+CODE = re.compile(r"[(\[{]|\)\Z|\A[a-z_]+(?:\.[a-z_]+)+\Z", re.IGNORECASE)
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z")
 HEX = re.compile(r"[0-9a-fA-F]+\Z")
-#: Words that texts and programs are made of, for dictionary coverage.
+LONGEST_WORD = 10
+#: Words that texts and programs are made of, for dictionary coverage, beside those of the corpus.
 DICTIONARY = frozenset(
     "the and for with that this from have not are was all can has but one out use new get set add put run key value name "
     "type data file path user test main index page list item count time date start stop end open close read write load save "
@@ -44,21 +56,35 @@ DICTIONARY = frozenset(
 )
 _RUN = np.zeros(128, dtype=bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/"]] = True
-FEATURES = 20
+
+
+def trimmed(value: str) -> str:
+    """The value without the marks that follow it in running text: one of TAIL, or any mark that is repeated."""
+    while value and not value[-1].isalnum():
+        bare = value.rstrip(value[-1])
+        if value[-1] not in TAIL and len(value) - len(bare) < 2:
+            break
+        value = bare
+    return value
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of strings that may be secrets: assigned values of 8 characters or more with a telling name, runs of
+    """(start, end, rule) of strings that may be secrets: assigned values of 6 characters or more with a telling name, runs of
     16 or more that mix digits and letters or both cases, and headers of private keys. Sorted; overlaps go to the first rule."""
     if not text:
         return []
     found = [(m.start(), m.end(), "private_key") for m in PEM.finditer(text)] if "-----BEGIN" in text else []
+    read = 0
     for m in ASSIGN.finditer(text):
+        if m.start() < read:  # within a value
+            continue
         name = NAME.search(text, max(0, m.start() - 40), m.start())
         if name and SECRET_NAME.search(name.group(1)) and (v := VALUE.match(text, m.end())):
-            g = 1 if v.group(1) is not None else 2
-            if v.end(g) - v.start(g) >= SHORTEST_ASSIGNED:
-                found.append((v.start(g), v.end(g), "assigned"))
+            g = next(g for g in (1, 2, 3) if v.group(g) is not None)
+            end = v.start(g) + len(trimmed(v.group(g))) if g == 3 else v.end(g)
+            read = v.end()
+            if end - v.start(g) >= SHORTEST_ASSIGNED:
+                found.append((v.start(g), end, "assigned"))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     inside = np.concatenate(([False], _RUN[np.minimum(points, 127)] & (points < 127), [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -81,55 +107,95 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def covered(value: str) -> float:
-    """Share of the characters in dictionary words of the value's parts (camel case, separators), longest match from the left."""
-    hit = 0
-    for part in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value):
-        low, i = part.lower(), 0
-        while i < len(low):
-            n = next((n for n in range(min(10, len(low) - i), 2, -1) if low[i : i + n] in DICTIONARY), 0)
-            hit += n
-            i += n or 1
-    return hit / max(1, len(value))
-
-
-def features(before: str, value: str, after: str, rule: str) -> list[float]:
+class Lexicon:
+    """Words for dictionary coverage, and how usual one letter is after another in them (smoothed by one, in bits above chance)."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.words = DICTIONARY.union(words)
+        counts = np.ones((26, 26))
+        for word in self.words:
+            for a, b in zip(word, word[1:]):
+                counts[ord(a) - 97, ord(b) - 97] += 1
+        self.bits = np.log2(26 * counts / counts.sum(axis=1, keepdims=True))
+
+    def covered(self, value: str) -> float:
+        """Share of the characters in dictionary words of the value's parts (camel case, separators), longest match from the left."""
+        hit = 0
+        for part in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value):
+            low, i = part.lower(), 0
+            while i < len(low):
+                n = next((n for n in range(min(LONGEST_WORD, len(low) - i), 2, -1) if low[i : i + n] in self.words), 0)
+                hit += n
+                i += n or 1
+        return hit / max(1, len(value))
+
+    def usual(self, value: str) -> float:
+        """Mean bits of the letter pairs within the value; 0, as by chance, where it has none."""
+        codes = np.frombuffer(value.lower().encode("ascii", "replace"), dtype=np.uint8).astype(int) - 97
+        a, b = codes[:-1], codes[1:]
+        both = (a >= 0) & (a < 26) & (b >= 0) & (b < 26)
+        return float(self.bits[a[both], b[both]].mean()) if both.any() else 0.0
+
+
+def lexicon(docs: DataFrame, text_col: str = "text", share: float = WORD_SHARE, least: int = WORD_LEAST) -> Lexicon:
+    """Words a to z of 3 to 10 letters that stand by themselves, in lower case, in enough of all documents. Null and empty texts count as
+    documents without words. Only the words that pass come to the driver, and their number is bounded (see WORD_SHARE)."""
+    words = F.array_distinct(F.regexp_extract_all(F.col("_text"), F.lit(rf"(?<!\S)([a-z]{{3,{LONGEST_WORD}}})(?!\S)")))
+    seen = docs.select(docs[text_col].alias("_text")).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    enough = max(least, math.ceil(share * docs.count()))
+    return Lexicon(r["word"] for r in seen.where(F.col("n") >= enough).select("word").collect())
+
+
+def features(before: str, value: str, after: str, rule: str, path: str | None = None, lex: Lexicon | None = None) -> list[float]:
+    lex = lex or PLAIN
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
     share = Counter(kinds)
     counts = Counter(value)
+    moves = Counter(zip(kinds, kinds[1:]))
     letters = [c for c in value.lower() if c.isalpha()]
     name = re.findall(r"[A-Za-z][A-Za-z0-9_.-]*", before)[-3:]
     close = re.search(r"[A-Za-z][A-Za-z0-9_.-]*[\"']?\s*[=:]\s*[\"']?\Z", before)
     return [
         float(len(value)), share["d"] / n, share["u"] / n, share["l"] / n, share["s"] / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / n, -sum(c / n * math.log2(c / n) for c in counts.values()), len(counts) / n,
-        covered(value), sum(c in "aeiou" for c in letters) / max(1, len(letters)), float(bool(HEX.match(value))), float(bool(UUID.match(value))),
+        sum(m for (a, b), m in moves.items() if a != b) / n, (moves["l", "d"] + moves["d", "l"]) / n, (moves["l", "u"] + moves["u", "l"]) / n,
+        -sum(c / n * math.log2(c / n) for c in counts.values()), len(counts) / n, lex.usual(value), lex.covered(value),
+        sum(c in "aeiou" for c in letters) / max(1, len(letters)), float(bool(HEX.match(value))), float(bool(UUID.match(value))),
         float(value.count("/") + value.count("\\")), float(before.endswith(("/", ".", "\\", "//")) or after[:1] in "/.\\" and after[:1] != ""),
         float(any(SECRET_NAME.search(w) for w in name)), float(any(BENIGN_NAME.search(w) for w in name)), float(bool(close)),
-        float(before.endswith(("\"", "'"))), float(bool(PLACEHOLDER.search(value))), float(rule == "private_key"),
+        float(before.endswith(("\"", "'"))), float(bool(PLACEHOLDER.search(value))), float(rule == "private_key"), float(value.count(" ")),
+        float(bool(CODE.search(value))), float(bool(path) and bool(TEST_PATH.search(path))), float(bool(path) and bool(CONFIG_PATH.search(path))),
     ]
 
 
+PLAIN = Lexicon()
+
+
 # ---- labelled findings ----------------------------------------------------------------------------------------------------
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
-def labelled_findings(n: int = LABELLED, seed: int = 3) -> list[tuple[str, str, str, str, int]]:
-    """(before, value, after, rule, label): findings as a reviewer would label them, drawn from a seed."""
+#: (before, value, after, rule, path, label); before and after may be null, and the path is null where none is known.
+Finding = tuple[str, str, str, str, str | None, int]
+
+
+def labelled_findings(n: int = LABELLED, seed: int = 3, words: Iterable[str] = DICTIONARY) -> list[Finding]:
+    """Findings as a reviewer would label them, drawn from a seed, for use where no table of labelled findings is given."""
     rng = random.Random(seed)
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
-    words = sorted(DICTIONARY)
+    words = sorted(words)
     word = lambda: rng.choice(words)
     prose = lambda: " ".join(pick(LOWER, rng.randint(2, 9)) if rng.random() < 0.5 else word() for _ in range(rng.randint(1, 6)))
     secret_name = lambda: rng.choice(["password", "token", "api_key", "secret", "passwd", "access_key", "auth_token", "API_KEY", "Secret", "client_secret"])
     link = lambda: rng.choice(["=", " = ", ": ", "=\"", " = \"", ": '"])
+    path = lambda likely: None if rng.random() < 0.6 else rng.choice(likely if rng.random() < 0.7 else ["src/main.py", "notes.md", "a/b.go"])
+    real, shown = [".env", "conf/prod.yml", "deploy/settings.toml", "app.properties"], ["tests/test_login.py", "docs/readme.md", "examples/a.yml", "spec/fixtures.rb"]
     out = []
     for _ in range(n):
         before, after = prose() + " ", " " + prose()
         if rng.random() < 0.5:
-            kind = rng.randrange(6)
+            kind = rng.randrange(8)
             if kind == 0:
                 value = rng.choice(["AKIA", "ASIA"]) + pick(UPPER + DIGITS, 16)
             elif kind == 1:
@@ -139,7 +205,12 @@ def labelled_findings(n: int = LABELLED, seed: int = 3) -> list[tuple[str, str,
             elif kind == 3:
                 value, before = pick(UPPER + LOWER + DIGITS + "+/", rng.randint(16, 64)), before + secret_name() + link()
             elif kind == 4:
-                value, before = pick(UPPER + LOWER + DIGITS + "!@^.-_", rng.randint(10, 24)), before + secret_name() + link()
+                value, before = pick(UPPER + LOWER + DIGITS + "!@^.-_#$%&*", rng.randint(8, 24)), before + secret_name() + link()
+            elif kind == 5:
+                value = word() + rng.choice(["", rng.choice("!#$-_.@&")]) + pick(DIGITS, rng.randint(1, 4)) + rng.choice(["", rng.choice("!#$-_.@&") + word()])
+                value, before = (value.title() if rng.random() < 0.5 else value), before + secret_name() + link()
+            elif kind == 6:
+                value, before = " ".join(word() for _ in range(rng.randint(3, 5))), before + rng.choice(["password", "passphrase", "secret"]) + rng.choice(["=\"", " = \"", ": '"])
             else:
                 value = pick(UPPER + LOWER + DIGITS, rng.randint(24, 48))
             rule, label = ("assigned" if before.rstrip("\"' ").endswith(("=", ":")) else "mixed"), 1
@@ -148,7 +219,7 @@ def labelled_findings(n: int = LABELLED, seed: int = 3) -> list[tuple[str, str,
             if before.endswith(("\"", "'")):
                 after = before[-1] + after
         else:
-            kind = rng.randrange(10)
+            kind = rng.randrange(12)
             rule, label = "mixed", 0
             if kind == 0:
                 value = "/".join(word() for _ in range(rng.randint(3, 6))) + str(rng.randint(0, 99))
@@ -169,11 +240,14 @@ def labelled_findings(n: int = LABELLED, seed: int = 3) -> list[tuple[str, str,
             elif kind == 7:
                 value = word() + "-" + word() + "-" + ".".join(str(rng.randint(0, 30)) for _ in range(3)) + "-" + word()
             elif kind == 8:
-                value, rule = rng.choice([word() + "_" + word() + "_" + word(), "get" + word().title() + word().title() + "()", "os.environ[" + word()]), "assigned"
-                before += secret_name() + link()
+                value, rule = rng.choice([word() + "_" + word() + "_" + word(), word() + "." + word() + "." + word(), word() + "[" + word() + "]", "get" + word().title() + word().title() + "()", "os.environ[" + word()]), "assigned"
+                before += secret_name() + rng.choice(["=", " = ", ": "])
+            elif kind in (9, 10):
+                value, rule = rng.choice([word(), word() + "-" + word(), word().title(), pick(LOWER, rng.randint(6, 12))]), "assigned"
+                before += rng.choice(["the ", "a ", "this ", ""]) + secret_name() + rng.choice([": ", ": ", " = ", "="])
             else:
                 value = pick(LOWER, rng.randint(16, 24)) + str(rng.randint(1, 9)) if rng.random() < 0.3 else rng.choice([pick("aeiou" + LOWER, 8).title() + pick("aeiou" + LOWER, 10), word().upper() + "-" + word() + word() + "-" + str(rng.randint(100, 999))])
-        out.append((before[-BESIDE:], value, after[:BESIDE], rule, label))
+        out.append((before[-BESIDE:], value, after[:BESIDE], rule, path(real if label else shown), label))
     return out
 
 
@@ -233,8 +307,8 @@ class RandomForest:
         return total / len(self.trees)
 
 
-def fit(labelled: Sequence[tuple[str, str, str, str, int]]) -> RandomForest:
-    x = np.array([features(b, v, a, r) for b, v, a, r, _ in labelled])
+def fit(labelled: Sequence[Finding], lex: Lexicon = PLAIN) -> RandomForest:
+    x = np.array([features(b or "", v, a or "", r, p, lex) for b, v, a, r, p, _ in labelled])
     return RandomForest(x, np.array([y for *_, y in labelled], dtype=float))
 
 
@@ -243,31 +317,47 @@ def default_forest() -> RandomForest:
     return fit(labelled_findings())
 
 
-def scan(docs: DataFrame, forest: RandomForest | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def findings_of(labelled: DataFrame, most: int = 4 * LABELLED) -> list[Finding]:
+    """Labelled findings out of a table (before, value, after, rule, path, label): about ``most`` at most, picked by a hash of the row, since
+    the forest is fitted on the driver. Rows without value, rule or label are passed over."""
+    rows = labelled.select("before", "value", "after", "rule", "path", F.col("label").cast("int").alias("label")).dropna(subset=["value", "rule", "label"])
+    part = most / max(most, rows.count())
+    rows = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)) < int(1_000_000 * part))
+    return [tuple(r) for r in rows.orderBy(*rows.columns).collect()]
+
+
+def scan(
+    docs: DataFrame, forest: RandomForest | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+    path_col: str | None = None, lex: Lexicon = PLAIN,
+) -> DataFrame:
     """A row for each candidate of every whole text: id, start, end (code points, end exclusive), rule, value_sha256, score, secret.
 
     ``score`` is the forest's share for a true secret, ``secret`` whether it reaches the threshold; false alarms stay in the result, marked.
     The value itself is not given out. Null and empty texts have no rows; null ids are passed on; repeated rows are scanned each; an empty
-    table gives an empty result. The forest is fitted on the driver on labelled findings (6,000 by default), not on documents.
+    table gives an empty result. Candidates that overlap go to the first, a tie to the rule named first in ``candidates``. Columns beyond
+    id, text and path are dropped, so names like ``start`` or ``secret`` may clash. A text of any length is read whole, in time
+    proportional to its length. ``lex`` must be the lexicon that the forest was fitted with.
     """
-    forest = forest or default_forest()
+    forest = forest or (default_forest() if lex is PLAIN else fit(labelled_findings(words=lex.words), lex))
 
     def run(batches):
         for pdf in batches:
             rows, x = [], []
-            for i, text in zip(pdf["id"], pdf["text"]):
+            for i, text, path in zip(pdf["id"], pdf["text"], pdf["path"]):
                 for s, e, rule in candidates(text):
                     value = text[s:e]
                     rows.append((None if i is None or i != i else int(i), s, e, rule, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()))
-                    x.append(features(text[max(0, s - BESIDE) : s], value, text[e : e + BESIDE], rule))
+                    x.append(features(text[max(0, s - BESIDE) : s], value, text[e : e + BESIDE], rule, path, lex))
             out = pd.DataFrame(rows, columns=[id_col, "start", "end", "rule", "value_sha256"])
             out[id_col] = out[id_col].astype("Int64")
             score = forest.probability(np.array(x)) if x else np.zeros(0)
             yield out.assign(score=score, secret=score >= threshold)
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
+    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), path.alias("path"))
     return map_batches(src, run, f"{id_col} long, start int, end int, rule string, value_sha256 string, score double, secret boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, path_col="source", lex=lexicon(docs))
