@@ -6,6 +6,7 @@ from collections import Counter
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,51 @@ def test_quality(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
+def test_phrases_count_at_any_distance():
+    spread = "one two three four five six seven".split()
+    base = quality.features(" ".join(spread))[18]
+    for gap in range(1, 9):
+        assert quality.features(" ".join([*spread, *map(str, range(gap)), *spread]))[18] > base == 0.0
+
+
+def test_quality_query_against_a_plain_version(spark):
+    """The fit and the scores of the whole table, computed without Spark, and accuracy on labels that were not learned."""
+    folder = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in quality.query(spark, folder).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["quality"] is not None}
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in rows])
+    trusted = np.array([labels.get(i) == 1 for i, _ in rows])
+    x = np.array([quality.features(t) for _, t in rows], dtype=float)
+    model = quality.Model(x[~held])
+    xp, xu = model.inputs(x[~held & trusted]), model.inputs(x[~held])
+    quality.descend(model, xp, xu, quality.class_prior(xp, xu))
+    plain = model.scores(x)
+    assert len(got) == len(rows) and all(got[i]["held_out"] == h for (i, _), h in zip(rows, held))
+    assert np.mean([abs(got[i]["score"] - s) for (i, _), s in zip(rows, plain)]) < 0.01
+    assert all(got[i]["predicted"] == (got[i]["score"] >= 0.3) for i, _ in rows)
+    judged = [(got[i]["score"], labels[i]) for (i, _), h in zip(rows, held) if h and i in labels]
+    good, bad = ([s for s, k in judged if k == label] for label in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) >= 0.99  # at the threshold that the contract fixes, 66 of 70 are right
+    assert sum((s >= 0.3) == (k == 1) for s, k in judged) >= 0.9 * len(judged)
+
+
+def test_descend_reaches_the_smallest_non_negative_risk():
+    """One feature: the risk at the weights found is that of the best weights on a grid, but for what the weight decay costs."""
+    rng = np.random.default_rng(4)
+    ones = lambda v: np.stack([np.ones(len(v)), v], axis=1)
+    xp, xu = ones(rng.normal(1, 1, 400)), ones(np.concatenate([rng.normal(1, 1, 300), rng.normal(-1, 1, 300)]))
+
+    def risk(w, prior=0.5):
+        loss = lambda x, y: np.logaddexp(0, -y * (x @ w)).mean()
+        return max(0.0, loss(xu, -1) - prior * loss(xp, -1)) + prior * loss(xp, 1)
+
+    model = quality.Model(np.zeros((1, quality.FEATURES)))
+    quality.descend(model, xp, xu, 0.5, rounds=1500)
+    best = min(risk(np.array([a, b])) for a in np.linspace(-3, 3, 61) for b in np.linspace(-1, 5, 61))
+    assert risk(model.weights) < best + 0.005
+
+
 def test_quality_without_labels(spark):
     rows, _ = quality_rows()
     model = quality.train(docs(spark, rows[:20]), spark.createDataFrame([], "doc_id long, quality int"), quality.learnable)

@@ -41,7 +41,6 @@ def features(text: str | None) -> list[float]:
     k = max(1, len(words))
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x]
-    spots = words[::5]
     ends = sum(w[-1] in ".,;:?" for w in counts) / max(1, len(counts))
     marked = sum(c for w, c in counts.items() if len(w) > 2 and not w[-1].isalnum() and not w[-2].isalnum())
     return [
@@ -50,7 +49,7 @@ def features(text: str | None) -> list[float]:
         shares[7] / max(1.0, shares[1]), len(counts) / k, max(counts.values(), default=0) / k,
         sum(c for w, c in counts.items() if len(w) <= 3) / k, ends, marked / k,
         1 - len(set(lines)) / max(1, len(lines)), math.log1p(k / max(1, len(lines))),
-        1 - len(set(zip(spots, spots[1:]))) / max(1, len(spots) - 1) if len(spots) > 1 else 0.0,
+        1 - len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 0.0,
         len(zlib.compress(raw, 1)) / n,
     ]
 
