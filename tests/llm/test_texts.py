@@ -388,6 +388,32 @@ def test_deduplicated(spark):
     assert neardup.deduplicated(docs(spark, []).limit(0)).count() == 0
 
 
+def text_exchanges(plan):
+    """How many exchanges in a plan that has not run move a column named text."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return text_exchanges(plan.initialPlan())
+    names = [plan.output().apply(k).name() for k in range(plan.output().size())]
+    return (plan.nodeName() == "Exchange" and "text" in names) + sum(text_exchanges(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_deduplicated_moves_texts_once(spark):
+    """Where nothing is small enough to be broadcast, the result shuffles the texts a single time."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS["en"]) + str(rng.randint(0, 99)) for _ in range(30)) for _ in range(40)]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    rows += [(100 + i, t + " end", None, None) for i, t in enumerate(texts[:20])] + [(200, texts[0], None, None), (3, texts[3], None, None), (4, texts[4], None, None), (None, None, None, None), (9, None, None, None)]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = neardup.deduplicated(docs(spark, rows))
+        assert text_exchanges(out._jdf.queryExecution().executedPlan()) == 1
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1 for r in out.collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert got == sorted([*range(40), -1, 9])
+
+
 def test_near_duplicates_edges(spark):
     long = " ".join(f"w{k}" for k in range(20_000))
     odd = [(9, None, None, None), (8, None, None, None), (7, "", None, None), (6, "", None, None), (5, "one two", None, None), (4, "One  two", None, None), (3, long, None, None), (2, long + " end", None, None), (1, long, None, None), (1, long, None, None)]

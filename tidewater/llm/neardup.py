@@ -310,7 +310,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     links = links.unionByName(compared(entries, seqs, threshold))
     labels = components(links)
     found = exact.select("sha", "node").join(labels, "node", "left").select("sha", F.coalesce("component", "node").alias("class"))
-    return base.select("id", "sha"), materialise(found, "omh-classes")
+    found = materialise(found, "omh-classes")
+    discard(exact, seqs, entries)
+    rows = base.select("id", "sha")
+    rows._shared_path = base._shared_path
+    return rows, found
 
 
 def own_id(id_: str = "id", sha: str = "sha") -> Column:
@@ -342,15 +346,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.where("sha is not null").join(found, "sha").groupBy("class", "id", "sha").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("best", own_id() == F.col("class")), "omh-members"
     )
-    gone = many.where("not best").select(F.col("id").alias("_omh_id"), F.col("sha").alias("_omh_sha"))
-    # rows that the class id does not tell apart; few, so that only they are shuffled with their texts
-    unclear = many.where("best").groupBy("class").agg(F.sum("n").alias("n"), F.collect_set("sha").alias("shas")).where("n > 1")
-    unclear = unclear.select(F.col("class").alias("_omh_class"), F.explode("shas").alias("_omh_sha"))
+    discard(rows, found)
+    # rows that the class id does not tell apart
+    several = many.where("best").groupBy("class").agg(F.sum("n").alias("rows")).where("rows > 1").select("class")
+    unclear = materialise(many.where("best").join(several, "class").select("class", "id", "sha"), "omh-unclear")
+    other = materialise(many.where("not best").select("id", "sha").unionByName(unclear.select("id", "sha")), "omh-other")
+    discard(many)
+    # texts are long, so each of the two joins moves them once at most; what the first has shuffled goes before the second begins
     keyed = docs.withColumn("_omh_sha", F.sha2(F.col(text_col).cast("binary"), 256)).withColumn("_omh_id", F.col(id_col).cast("long"))
-    left = keyed.join(gone.withColumnsRenamed({"_omh_sha": "s", "_omh_id": "i"}), (F.col("_omh_sha") == F.col("s")) & F.col("_omh_id").eqNullSafe(F.col("i")), "left_anti")
-    single = left.join(unclear.select("_omh_sha").distinct(), "_omh_sha", "left_anti").select(*docs.columns)
-    chosen = left.join(unclear, "_omh_sha").dropDuplicates(["_omh_class"]).select(*docs.columns)
-    return single.unionByName(chosen)
+    same = (F.col("_omh_sha") == F.col("_omh_s")) & F.col("_omh_id").eqNullSafe(F.col("_omh_i"))
+    names = {"sha": "_omh_s", "id": "_omh_i", "class": "_omh_class"}
+    chosen = materialise(keyed.join(unclear.withColumnsRenamed(names), same).dropDuplicates(["_omh_class"]).select(*docs.columns), "omh-chosen")
+    discard(unclear)
+    return keyed.join(other.withColumnsRenamed(names), same, "left_anti").select(*docs.columns).unionByName(chosen)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
