@@ -7,8 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 ATTRIBUTE = "attribute"
+#: Rows of a range of an order: on average no more than the one, and no less than the other for the sake of more tasks. Rows sampled for each range.
+RANGE_MOST, RANGE_LEAST, RANGE_SAMPLE = 500_000, 10_000, 100
 
 
 @dataclass(frozen=True)
@@ -132,19 +135,45 @@ def append_by_name(df: DataFrame, more: DataFrame) -> DataFrame:
     return df.unionByName(more)
 
 
-def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_at") -> DataFrame:
-    """Rows with their place in the order, from 0. Ranges of the order are sorted one by one; only their sizes, a row for each range, come together,
-    so that no task holds the table. Rows that the order does not tell apart are numbered in any way."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = parts.withColumn("_range", F.spark_partition_id())
-    within = parts.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    sizes = within.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "_at", down: Sequence[str | Column] = ()) -> DataFrame:
+    """Rows with their place in the order, from 0: by ``down`` descending, NULLs last, then by ``order`` ascending, NULLs first. Ranges of the order are
+    sorted one by one; only their sizes, a row for each range, come together, so that no task holds the table. Rows that the order does not tell apart are
+    numbered in any way. The table is read for its size, for the ends of ranges, for their sizes and for the rows, and has to be the same each time."""
+    falling, rising = ([F.col(c) if isinstance(c, str) else c for c in cs] for cs in (down, order))
+    parts, ranged = _ranged(df, falling, rising)
+    by = [*(c.desc_nulls_last() for c in falling), *(c.asc_nulls_first() for c in rising)]
+    within = ranged.repartitionById(parts, F.col("_range")).withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("_range").alias("_r"), before.alias("_start"))
     joined = within.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # a row for each range
     return joined.select(*(df[c] for c in df.columns), (F.col("_start") + F.col("_place")).alias(name))
 
 
+def _ranged(df: DataFrame, falling: Sequence[Column], rising: Sequence[Column]) -> tuple[int, DataFrame]:
+    """How many ranges an order is cut into, and rows with theirs, from their values alone: Spark's own ranges are drawn anew each time a plan runs, so that
+    the sizes of one run do not fit the rows of another. Ends of ranges are taken from a sample; they decide how even the ranges are, not what is right."""
+    count = df.count()
+    parts = max(-(-count // RANGE_MOST), min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_LEAST)), 1)
+    key = F.struct(*(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cs))).alias(k) for k, cs in (("down", falling), ("up", rising)) if cs))
+    texts = []
+    if parts > 1:
+        keys = df.select(key.alias("key")).sample(min(1.0, RANGE_SAMPLE * parts / count), seed=1)
+        w = Window.orderBy(*(F.desc("key.down") for _ in falling[:1]), *(F.asc("key.up") for _ in rising[:1]))
+        tiles = keys.select("key", F.ntile(parts).over(w).alias("tile"), F.row_number().over(w).alias("n"))
+        firsts = tiles.withColumn("first", F.col("tile") != F.lag("tile").over(Window.orderBy("n"))).where("first")
+        texts = [r["text"] for r in firsts.orderBy("n").select(F.to_json("key").alias("text")).collect()]
+    kind = df.select(F.from_json(F.lit("{}"), df.select(key.alias("key")).schema["key"].dataType).alias("key")).schema["key"].dataType
+    ranged = df.withColumn("_range_key", key.cast(kind)).withColumn("_range", F.lit(0))
+    for i in reversed(range(len(texts).bit_length())):  # binary search for how many ends a row has reached
+        end = F.get(F.from_json(F.lit(f"[{','.join(texts[(1 << i) - 1 :: 2 << i])}]"), ArrayType(kind)), F.col("_range"))
+        reached = end["up"] <= F.col("_range_key.up") if rising else F.lit(True)
+        if falling:
+            reached = (end["down"] > F.col("_range_key.down")) | ((end["down"] == F.col("_range_key.down")) & reached)
+        ranged = ranged.withColumn("_range", 2 * F.col("_range") + F.when(reached, 1).otherwise(0))
+    return parts, ranged.drop("_range_key")
+
+
 def atr(df: DataFrame, places: DataFrame, order: Sequence[str], place: str = "i") -> DataFrame:
     """Rows by place, from 0 in the order; a place out of range gives a row of NULLs. ``places`` is kept in front."""
     at = numbered(df, order)
