@@ -94,7 +94,7 @@ def placed(df, order, down=()):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice, o_orderkey) AS place FROM orders")
 def sort_places(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return lying(B.xasc(["o_orderpriority", "o_totalprice"], o, ["o_orderkey"])).select("o_orderkey", "place")
+    return placed(o, ["o_orderpriority", "o_totalprice", "o_orderkey"]).select("o_orderkey", "place")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice DESC, o_orderkey) AS place FROM orders")
