@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewater import catalog
 from tidewater.operators import tables as B
 
-SORTS = ["sort_places", "sort_places_lines"]
+SORTS = ["sort_places", "sort_places_down", "sort_places_lines"]
 
 
 def test_products_beyond_the_decimal(spark, tmp_path):

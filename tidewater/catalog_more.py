@@ -81,12 +81,6 @@ def rows_and_back(spark, d):
 # ---- sorting, with the place of each row ----------------------------------------------------------------------------------
 
 
-def lying(df):
-    """Rows as they lie in the files of a sort, numbered from there: partitions in their order, rows in each."""
-    at = df.withColumn("_id", F.monotonically_increasing_id())
-    return at.withColumn("place", F.row_number().over(Window.orderBy("_id")).cast("long")).drop("_id")
-
-
 def placed(df, order, down=()):
     return B.numbered(df, order, "place", down).withColumn("place", F.col("place") + 1)
 
@@ -100,7 +94,7 @@ def sort_places(spark, d):
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def sort_places_down(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return lying(B.xdesc(["o_orderpriority", "o_totalprice"], o, ["o_orderkey"])).select("o_orderkey", "place")
+    return placed(o, ["o_orderkey"], down=["o_orderpriority", "o_totalprice"]).select("o_orderkey", "place")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_returnflag, l_linestatus, l_shipdate, {', '.join(LINE_ORDER)}, l_orderkey) AS place FROM lineitem")
