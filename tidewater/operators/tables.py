@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType
 
 ATTRIBUTE = "attribute"
 #: Rows of a range of an order: on average no more than the one, and no less than the other for the sake of more tasks. Rows sampled for each range.
-RANGE_MOST, RANGE_LEAST, RANGE_SAMPLE = 500_000, 10_000, 100
+RANGE_MOST, RANGE_LEAST, RANGE_SAMPLE = 1_250_000, 10_000, 100
 
 
 @dataclass(frozen=True)
